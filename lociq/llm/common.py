@@ -42,3 +42,32 @@ def drop_cut(df: DataFrame) -> None:
 
 def n_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_columns(df: DataFrame, new: str, compute) -> DataFrame:
+    """df with the columns of the DDL ``new``; compute(batch) gives their arrays for a RecordBatch.
+
+    Columns of df that have a new column's name are replaced. One narrow pass; nothing is gathered.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    fields = StructType.fromDDL(new)
+    names = {f.name.lower() for f in fields}
+    kept = [f for f in df.schema if f.name.lower() not in names]
+    schema = StructType([*kept, *fields])
+
+    def run(batches):
+        types = [f.type for f in to_arrow_schema(fields)]
+        for batch in batches:
+            old = [batch.column(batch.schema.names.index(f.name)) for f in kept]
+            made = [pa.array(x, t) if not isinstance(x, pa.Array) else x.cast(t) for x, t in zip(compute(batch), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*old, *made], names=[f.name for f in schema])
+
+    return df.mapInArrow(run, schema)
+
+
+def column(batch, name: str) -> list:
+    """The Python values of a batch's column."""
+    return batch.column(batch.schema.names.index(name)).to_pylist()
