@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .chat_format import op10_chat_format
 from .sentencepiece_codec import op1_sentencepiece
+from .simhash import op5_simhash
 from .url_filter import OP8_SQL, op8_url_filters
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op5_simhash": op5_simhash,
     "op8_url_filters": op8_url_filters,
     "op10_chat_format": op10_chat_format,
 }
