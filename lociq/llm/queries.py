@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 from .chat_format import op10_chat_format
+from .ibf_fingerprint import op9_document_fingerprints
 from .sentencepiece_codec import op1_sentencepiece
 from .simhash import op5_simhash
+from .topk_search import OP7_SQL, op7_topk_search
 from .url_filter import OP8_SQL, op8_url_filters
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op5_simhash": op5_simhash,
+    "op7_topk_search": op7_topk_search,
     "op8_url_filters": op8_url_filters,
+    "op9_document_fingerprints": op9_document_fingerprints,
     "op10_chat_format": op10_chat_format,
 }
 
 ORACLE_SQL = {
+    "op7_topk_search": OP7_SQL,
     "op8_url_filters": OP8_SQL,
 }
