@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat_format import op10_chat_format
 from .ibf_fingerprint import op9_document_fingerprints
 from .language_id import op6_language_id
+from .mixing import op2_source_mixing, op2_sql
 from .quality import op4_quality_classifier
 from .sentencepiece_codec import op1_sentencepiece
 from .simhash import op5_simhash
@@ -13,6 +14,7 @@ from .url_filter import OP8_SQL, op8_url_filters
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_source_mixing": op2_source_mixing,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_simhash": op5_simhash,
     "op6_language_id": op6_language_id,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_source_mixing": op2_sql(),
     "op7_topk_search": OP7_SQL,
     "op8_url_filters": OP8_SQL,
 }
