@@ -9,12 +9,14 @@ from .mixing import op2_source_mixing, op2_sql
 from .quality import op4_quality_classifier
 from .sentencepiece_codec import op1_sentencepiece
 from .simhash import op5_simhash
+from .suffix_dedup import op3_suffix_dedup
 from .topk_search import OP7_SQL, op7_topk_search
 from .url_filter import OP8_SQL, op8_url_filters
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_source_mixing": op2_source_mixing,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_simhash": op5_simhash,
     "op6_language_id": op6_language_id,
