@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +28,8 @@ from .common import column, with_columns
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-#: Units that a worker remembers; beyond that it starts anew, so memory is bounded.
-CACHE_UNITS = 200_000
+#: A worker remembers the ids of up to twice as many units: a new generation begins when one is full.
+CACHE_UNITS = 500_000
 
 
 class CharMap:
@@ -72,12 +73,16 @@ class Encoder:
         self.user = sorted((p.piece for p in proto.pieces if p.type == p.USER_DEFINED), key=len, reverse=True)
         self.plain = not self.map.units and not self.squeeze and not self.user and self.escape and self.dummy
         self.whole = not proto.trainer_spec.byte_fallback or any(re.search(f"[^{SPACE}]{SPACE}", p.piece) for p in proto.pieces)
-        self.byte = [p.type == p.BYTE for p in proto.pieces]
-        self.value = [int(p.piece[3:5], 16) if p.type == p.BYTE else 0 for p in proto.pieces]
-        self.piece = [p.piece for p in proto.pieces]
+        # of each id: is it a byte, which, its length in characters (bytes: 0), its text, its decimal digits
+        self.byte = np.array([p.type == p.BYTE for p in proto.pieces])
+        self.value = np.array([int(p.piece[3:5], 16) if p.type == p.BYTE else 0 for p in proto.pieces])
+        self.length = np.array([0 if p.type == p.BYTE else len(p.piece) for p in proto.pieces])
+        self.raw = [bytes([v]) if b else p.piece.replace(SPACE, " ").encode() for p, b, v in zip(proto.pieces, self.byte.tolist(), self.value.tolist(), strict=True)]
+        self.digits = [str(i) for i in range(len(proto.pieces))]
         spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces = b"", False, False, True
         self.segmenter = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-        self.known: dict[str, tuple] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     # normalisation ---------------------------------------------------------------------------------------------
 
@@ -135,56 +140,55 @@ class Encoder:
         units = ([norm] if norm else []) if self.whole else UNIT.findall(norm)
         return [u[1:] for u in units] if self.plain else units
 
-    def rows(self, text: str) -> list[tuple]:
-        """Of each unit: the ids as decimal text, as int32 bytes, the pieces' lengths in characters, the decoded bytes."""
+    def ids(self, text: str) -> np.ndarray:
         units = self.units(text)
-        rows = list(map(self.known.get, units))
-        if None in rows:
-            if len(self.known) > CACHE_UNITS:
-                self.known.clear()
-                rows = [None] * len(units)
-            new = list({u for u, r in zip(units, rows, strict=True) if r is None})
+        found = list(map(self.known.get, units))
+        missing = {u for u, f in zip(units, found, strict=True) if f is None}
+        if missing:
+            known, older = self.known, self.older
+            new = []
+            for u in missing:
+                if (f := older.get(u)) is None:
+                    new.append(u)
+                else:
+                    known[u] = f
             spelled = [SPACE + u for u in new] if self.plain else new
-            for unit, ids in zip(new, self.segmenter.encode(spelled, num_threads=1), strict=True):
-                self.known[unit] = (",".join(map(str, ids)), np.array(ids, "<i4").tobytes(), self._lengths(ids), self._spell(ids))
-            rows = list(map(self.known.__getitem__, units))
-        return rows
-
-    def _lengths(self, ids: list[int]) -> bytes:
-        out, left = bytearray(), 0
-        for i in ids:
-            if self.byte[i]:
-                left = left - 1 if left else (self.value[i] >= 0xC0) + (self.value[i] >= 0xE0) + (self.value[i] >= 0xF0)
-                out.append(0 if left else 1)
-            else:
-                out.append(len(self.piece[i]))
-        return bytes(out)
-
-    def _spell(self, ids: list[int]) -> bytes:
-        return b"".join(bytes([self.value[i]]) if self.byte[i] else self.piece[i].replace(SPACE, " ").encode() for i in ids)
+            for u, ids in zip(new, self.segmenter.encode(spelled, num_threads=1) if new else [], strict=True):
+                known[u] = array("i", ids).tobytes()
+            found = map(known.__getitem__, units)
+        out = np.frombuffer(b"".join(found), np.int32)
+        if len(self.known) > CACHE_UNITS:
+            self.known, self.older = {}, self.known
+        return out
 
     # results ---------------------------------------------------------------------------------------------------
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids, and the begin and end of each piece's span in the text's UTF-8 bytes."""
-        rows = self.rows(text or "")
-        ids = np.frombuffer(b"".join([r[1] for r in rows]), "<i4")
-        return ids, *self.spans(text or "", rows)
+        ids = self.ids(text or "")
+        return ids, *self.spans(text or "", ids)
 
-    def spans(self, text: str, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        lengths = np.frombuffer(b"".join([r[2] for r in rows]), np.uint8)
+    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(ids):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         if self.whole:  # an unknown run is one piece whose length the vocabulary doesn't tell
             norm = self.normalise(text)[0]
             at = np.flatnonzero((np.frombuffer(norm.encode(), np.uint8) & 0xC0) != 0x80)
             ends = np.searchsorted(at, [p.end for p in self.segmenter.encode(norm, return_type="proto").pieces])
         else:
-            ends = np.cumsum(lengths, dtype=np.int64)
-        source = self.plain_offsets(data, len(text)) if self.plain and (data := text.encode()) else self.normalise(text)[1]
-        ends = source[ends] if len(ends) else np.zeros(0, np.int64)
-        return np.concatenate(([0], ends[:-1]))[: len(ends)], ends
-
-    def decoded(self, rows: list[tuple]) -> bytes:
-        out = b"".join([r[3] for r in rows])
+            lengths = self.length[ids]
+            if (spelled := np.flatnonzero(self.byte[ids])).size:  # a character's last byte piece stands for it
+                value = self.value[ids[spelled]]
+                lead = (value & 0xC0) != 0x80
+                value = value[lead]
+                lengths[spelled[lead] + (value >= 0xC0) + (value >= 0xE0) + (value >= 0xF0)] = 1
+            ends = np.cumsum(lengths)
+        source = self.plain_offsets(text.encode(), len(text)) if self.plain else self.normalise(text)[1]
+        ends = source[ends]
+        return np.concatenate(([0], ends[:-1])), ends
+
+    def decoded(self, ids: list[int]) -> bytes:
+        out = b"".join(map(self.raw.__getitem__, ids))
         return out[1:] if self.dummy and out[:1] == b" " else out
 
 
@@ -230,9 +234,9 @@ def digests(df: DataFrame, model: bytes, text: str = "text") -> DataFrame:
     def compute(batch):
         e, out = encoder(model), []
         for t in column(batch, text):
-            rows = e.rows(t or "")
-            begins, ends = e.spans(t or "", rows)
-            out.append((len(ends), sha(",".join([r[0] for r in rows]).encode()), sha(e.decoded(rows)), sha(begins.tobytes() + ends.tobytes())))
+            ids, begins, ends = e.encode(t)
+            listed = ids.tolist()
+            out.append((len(ids), sha(",".join(map(e.digits.__getitem__, listed)).encode()), sha(e.decoded(listed)), sha(begins.tobytes() + ends.tobytes())))
         return [list(x) for x in zip(*out, strict=True)] or [[], [], [], []]
 
     return with_columns(df, "n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string", compute)
