@@ -155,6 +155,17 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float, float], cut: float =
     return with_columns(docs, "score double, predicted int", compute)
 
 
+def learned(model: tuple[np.ndarray, float, float]) -> bool:
+    """Whether the training rows had both classes."""
+    return model[1] != 0.0
+
+
+def accepted(docs: DataFrame, model: tuple[np.ndarray, float, float], cut: float = CUT) -> DataFrame:
+    """The documents with a score of ``cut`` or more, all their columns as they are."""
+    judged = with_columns(docs, "__keep boolean", lambda batch: [[score(model, t) >= cut for t in column(batch, "text")]])
+    return judged.where("__keep").select(*docs.columns)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

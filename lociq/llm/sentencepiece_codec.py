@@ -208,14 +208,22 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
+def _lists(arrays: list[np.ndarray], dtype: str):
+    import pyarrow as pa
+
+    offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype("<i4")
+    values = np.concatenate(arrays).astype(dtype) if arrays else np.zeros(0, dtype)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
 def encode(df: DataFrame, model: bytes, text: str = "text") -> DataFrame:
     """With ids, begins and ends: the pieces' ids and their spans in the bytes of the original text."""
 
     def compute(batch):
         made = [encoder(model).encode(t) for t in column(batch, text)]
-        return [[m[i].tolist() for m in made] for i in range(3)]
+        return [_lists([m[i] for m in made], "<i4") for i in range(3)]
 
-    return with_columns(df, "ids array<int>, begins array<bigint>, ends array<bigint>", compute)
+    return with_columns(df, "ids array<int>, begins array<int>, ends array<int>", compute)
 
 
 def decode(df: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:
@@ -242,6 +250,18 @@ def digests(df: DataFrame, model: bytes, text: str = "text") -> DataFrame:
     return with_columns(df, "n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string", compute)
 
 
+def tokenised(df: DataFrame, model: bytes, text: str = "text") -> DataFrame:
+    """With ids, begins, ends, n_tokens, and decoded_sha256 of the text that the ids decode to."""
+
+    def compute(batch):
+        e = encoder(model)
+        made = [e.encode(t) for t in column(batch, text)]
+        lists = [_lists([m[i] for m in made], "<i4") for i in range(3)]
+        return [*lists, [len(m[0]) for m in made], [hashlib.sha256(e.decoded(m[0].tolist())).hexdigest() for m in made]]
+
+    return with_columns(df, "ids array<int>, begins array<int>, ends array<int>, n_tokens bigint, decoded_sha256 string", compute)
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     import public_tokenizers
 

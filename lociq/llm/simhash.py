@@ -174,11 +174,16 @@ def near_links(nodes: DataFrame, radius: int = 4) -> DataFrame:
     return sorted_.mapInArrow(_links(radius), "a bigint, b bigint")
 
 
-def near_components(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """docs (doc_id, fingerprint) -> with component_id: the least doc_id reachable over links of at most radius bits."""
+def fingerprint_roots(docs: DataFrame, radius: int = 4) -> DataFrame:
+    """docs (doc_id, fingerprint) -> fingerprint, least (doc_id), root: the least fingerprint that is reachable."""
     nodes = cut(docs.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
     roots = components(near_links(nodes.select("fingerprint"), radius))
-    named = nodes.join(roots, nodes["fingerprint"] == roots["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+    return nodes.join(roots, nodes["fingerprint"] == roots["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+
+
+def near_components(docs: DataFrame, radius: int = 4) -> DataFrame:
+    """docs (doc_id, fingerprint) -> with component_id: the least doc_id reachable over links of at most radius bits."""
+    named = fingerprint_roots(docs, radius)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(ids, "root").select(F.col("fingerprint").alias("__f"), "component_id")
     return docs.join(named, docs["fingerprint"] == named["__f"]).drop("__f")
@@ -190,8 +195,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(prints).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """One document of each group: that with the least doc_id (ties: any one row of equal texts)."""
-    prints = cut(with_fingerprints(docs, words=words).select("doc_id", "fingerprint"))
-    kept = near_components(prints, radius).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+def keep_one(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+    """One row of each group stays: that with the least doc_id (null last), of these that with the least text hash."""
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    prints = cut(with_fingerprints(docs.select("doc_id", "text").withColumn("h", own), words=words).select("doc_id", "h", "fingerprint"))
+    roots = fingerprint_roots(prints, radius).select(F.col("fingerprint").alias("__f"), "root")
+    least = prints.join(roots, prints["fingerprint"] == roots["__f"]).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("m"))
+    least = least.select(F.col("m.doc_id").alias("__id"), F.col("m.h").alias("__lh"))
+    rows = docs.withColumn("__h", own)
+    kept = rows.join(least, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__lh")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__h"]).select(*docs.columns)
