@@ -1,6 +1,6 @@
 """All queries of the engine, apart from the training-data operators."""
 
-from .plans import interval_queries  # noqa: F401  registers its queries
+from .plans import function_queries, interval_queries  # noqa: F401  they register their queries
 from .plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
