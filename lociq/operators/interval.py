@@ -58,8 +58,9 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner"
     """Pairs of one key whose closed reaches [start, end + gap] meet, and that ``on`` accepts. Columns of b are b_*.
 
     Each interval is put on the level whose bins are at least as wide as it is, and on those above, in at most two
-    bins each; a pair meets on the higher of its two levels, in the bin where the later of them starts. So an
-    interval costs the same rows whatever its length, the join is an equi-join, and no pair is found twice. ``on``
+    bins each; a pair meets on the higher of its two levels, in the bin where the later of them starts, and only
+    intervals of that level meet others there. So an interval costs the same rows whatever its length, short ones
+    don't meet in wide bins, the join is an equi-join, and no pair is found twice. ``on``
     is written over columns of a and b_*; half-open overlap is ``start0 < b_end0 and b_start0 < end0``.
     how: inner, left_semi, left_anti.
     """
@@ -68,19 +69,21 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner"
     left = left.withColumn("__e", F.col(e) + gap)
     right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
     right = right.withColumn("__be", F.col(f"b_{be}") + gap)
+    # side 1: a on its own level, b on it or above its own; side 2: a above its own level, b on its own
     x = _levelled(left, s, "__e")
-    y = _levelled(right, f"b_{bs}", "__be").withColumnsRenamed({"__own": "__bown", "__w": "__bw"})
-    met = [F.col(k) == F.col(f"b_{k}") for k in keys]
-    y = y.withColumnsRenamed({"__level": "__blevel", "__bin": "__bbin"})
-    cond = (F.col("__level") == F.col("__blevel")) & (F.col("__bin") == F.col("__bbin"))
-    for m in met:
-        cond &= m
+    x = x.withColumn("__side", F.when(F.col("__level") == F.col("__own"), 1).otherwise(2))
+    y = _levelled(right, f"b_{bs}", "__be")
+    y = y.withColumn("__bside", F.explode(F.when(F.col("__level") == F.col("__own"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    y = y.withColumnsRenamed({"__own": "__bown", "__w": "__bw", "__level": "__blevel", "__bin": "__bbin"})
+    cond = (F.col("__level") == F.col("__blevel")) & (F.col("__bin") == F.col("__bbin")) & (F.col("__side") == F.col("__bside"))
+    for k in keys:
+        cond &= F.col(k) == F.col(f"b_{k}")
     later = F.greatest(F.col(s), F.col(f"b_{bs}"))
-    cond &= (F.col("__level") == F.greatest("__own", "__bown")) & (F.col("__bin") == F.floor(later / F.col("__w")))
+    cond &= F.col("__bin") == F.floor(later / F.col("__w"))
     cond &= (F.col(s) <= F.col("__be")) & (F.col(f"b_{bs}") <= F.col("__e"))
     if on is not None:
         cond &= on
-    hidden = ["__own", "__level", "__w", "__bin", "__e", "__be", "__bown", "__bw", "__blevel", "__bbin"]
+    hidden = ["__side", "__bside", "__own", "__level", "__w", "__bin", "__e", "__be", "__bown", "__bw", "__blevel", "__bbin"]
     if how == "inner":
         return x.join(y, cond).drop(*hidden)
     # an anti join needs all bins of a row together: rows with a match are collected by an equi-join on all columns
