@@ -131,7 +131,7 @@ def strand_vote(domains: DataFrame, order: list[str]) -> DataFrame:
         rank = F.when(F.col("gene") == g, i).otherwise(rank)
     d = domains.withColumn("rank", rank).where("rank is not null").select("key", "rank", "start")
     pairs = d.join(d.toDF("key", "rank2", "start2"), "key").where("rank < rank2 and start <> start2")  # of one element: a few domains
-    votes = pairs.groupBy("key").agg(F.count_if("start < start2").alias("concordant"), F.count_if("start > start2").alias("discordant"))
+    votes = pairs.groupBy("key").agg(F.count_if(F.col("start") < F.col("start2")).alias("concordant"), F.count_if(F.col("start") > F.col("start2")).alias("discordant"))
     return votes.withColumn("strand", F.when(F.col("concordant") > F.col("discordant"), "+").when(F.col("discordant") > F.col("concordant"), "-"))
 
 

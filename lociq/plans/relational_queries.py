@@ -335,9 +335,9 @@ def density(spark, sf_dir):
     return f.groupBy("seqid", "name", (F.col("k") * 1000).alias("win")).agg(F.round(F.least(F.sum(bp) / 1000, F.lit(1.0)), 9).alias("density"))
 
 
-@query("a19_binned_depth", "SELECT user_id % 8 AS seqid, event_id // 50 AS bin, round(avg(value), 2) AS depth FROM events GROUP BY ALL HAVING avg(value) > 0.01")
+@query("a19_binned_depth", "SELECT user_id % 8 AS seqid, event_id // 50 AS bin, floor(avg(value) * 100 + 0.5) / 100 AS depth FROM events GROUP BY ALL HAVING avg(value) > 0.01")
 def binned_depth(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy((F.col("user_id") % 8).alias("seqid"), F.floor(F.col("event_id") / 50).alias("bin")).agg(F.avg("value").alias("d")).where("d > 0.01").select("seqid", "bin", F.round("d", 2).alias("depth"))
+    return table(spark, sf_dir, "events").groupBy((F.col("user_id") % 8).alias("seqid"), F.floor(F.col("event_id") / 50).alias("bin")).agg(F.avg("value").alias("d")).where("d > 0.01").select("seqid", "bin", (F.floor(F.col("d") * 100 + 0.5) / 100).alias("depth"))
 
 
 @query("a20_sliding_mean", """
@@ -440,7 +440,7 @@ def supermatrix(spark, sf_dir):
 
 @query("a35_change_point", """
 WITH k AS (SELECT unnest(range(0, 11)) AS i), x AS (SELECT CASE WHEN l_returnflag = 'R' THEN 2 ELSE 1 END AS v, l_discount AS d FROM lineitem)
-SELECT round(i * 0.01, 9) AS k, count(*) FILTER (WHERE (v = 1 AND round(d * 100) >= i) OR (v = 2 AND round(d * 100) < i)) AS sse FROM x, k GROUP BY i""")
+SELECT round(CAST(i AS DOUBLE) * 0.01, 9) AS k, count(*) FILTER (WHERE (v = 1 AND round(d * 100) >= i) OR (v = 2 AND round(d * 100) < i)) AS sse FROM x, k GROUP BY i""")
 def change_point(spark, sf_dir):
     """w15 as well: the grid's counts, from which ties are read."""
     li = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_returnflag") == "R", 2).otherwise(1).alias("v"), F.col("l_discount").alias("d"))
