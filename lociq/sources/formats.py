@@ -187,8 +187,8 @@ def kmer_dump(lines: DataFrame) -> DataFrame:
 def chromosome_sets(lines: DataFrame) -> DataFrame:
     """set_id, seqid: ragged sets, one a line, of two or more names; comments go."""
     p = F.filter(F.split(F.regexp_replace("value", "#.*$", ""), r"[\s,]+"), lambda x: x != "")
-    rows = lines.withColumn("p", p).where("size(p) >= 2")
-    return rows.select(F.row_number().over(W.orderBy("ord")).alias("set_id"), F.explode("p").alias("seqid"))
+    rows = lines.withColumn("p", p).where("size(p) >= 2").withColumn("set_id", F.row_number().over(W.orderBy("ord")))
+    return rows.select("set_id", F.explode("p").alias("seqid"))
 
 
 def copy_rules(lines: DataFrame) -> DataFrame:
