@@ -75,10 +75,10 @@ def majority_class(df: DataFrame, by: list[str], order: str, superfamily: str, c
     """order, superfamily, clade by majority; a tie at a level is ``mixture`` there and below."""
 
     def level(keys: list[str], value: str) -> DataFrame:
-        c = df.groupBy(*by, *keys, value).agg(F.count("*").alias("n"))
-        top = c.groupBy(*by, *keys).agg(F.max("n").alias("m"))
-        best = c.join(top, [*by, *keys]).where("n = m").groupBy(*by, *keys).agg(F.min(value).alias("v"), F.count("*").alias("k"))
-        return best.select(*by, *keys, F.when(F.col("k") > 1, "mixture").otherwise(F.col("v")).alias(f"__{value}"))
+        c = df.groupBy(*by, *keys, value).agg(F.count("*").alias("__n"))
+        top = c.groupBy(*by, *keys).agg(F.max("__n").alias("__m"))
+        best = c.join(top, [*by, *keys]).where("__n = __m").groupBy(*by, *keys).agg(F.min(value).alias("__v"), F.count("*").alias("__ties"))
+        return best.select(*by, *keys, F.when(F.col("__ties") > 1, "mixture").otherwise(F.col("__v")).alias(f"__{value}"))
 
     out = level([], order)
     s = level([order], superfamily).withColumnRenamed(order, "__k1")
