@@ -15,28 +15,31 @@ from __future__ import annotations
 
 import numpy as np
 
-SHARD = 1 << 18
+SHARD = 1 << 17
 
 
 def shard_bwt(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """symbols (0 ends a text) -> suffix array, transform, LF mapping. Sorted by prefix doubling, to ``depth``."""
+    """symbols (0 ends a text) -> suffix array, transform, LF mapping. Sorted by prefix doubling, to ``depth``; suffixes
+    that are alone in their rank aren't sorted again."""
     n = len(symbols)
-    key, known = symbols.astype(np.int64), 1
+    key = symbols.astype(np.int64)
     padded = np.concatenate((key, np.zeros(7, np.int64)))
     for j in range(1, 7):
         key = key << 9 | padded[j : j + n]
-    known = 7
-    order = np.argsort(key, kind="stable")
-    while True:
-        new = np.concatenate(([False], key[order][1:] != key[order][:-1]))
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        if known >= depth or int(rank[order[-1]]) == n - 1:
+    known, open_ = 7, np.arange(n)  # places in the order whose rank isn't theirs alone
+    order, rank = np.arange(n), np.zeros(n, np.int64)
+    while len(open_):
+        by = np.argsort(key, kind="stable")
+        at = order[open_][by]
+        order[open_] = at
+        new = np.concatenate(([True], key[by][1:] != key[by][:-1]))
+        rank[at] = np.maximum.accumulate(np.where(new, open_, 0))
+        if known >= depth:
             break
-        behind = np.zeros(n, np.int64)
-        behind[: max(0, n - known)] = rank[known:] + 1
-        key = rank * (n + 1) + behind
-        order = np.argsort(key, kind="stable")
+        tied = ~(new & np.append(new[1:], True))
+        open_, at = open_[tied], at[tied]
+        behind = np.where(at + known < n, rank[np.minimum(at + known, n - 1)] + 1, 0)
+        key = rank[at] * (n + 1) + behind
         known *= 2
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
@@ -46,24 +49,31 @@ def shard_bwt(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray,
 
 def repeated_starts(texts: list[bytes], length: int, shard: int = SHARD) -> np.ndarray:
     """Positions, in the texts laid end to end with one mark after each, where a string of ``length`` bytes starts
-    that starts elsewhere too; sorted."""
-    marked = np.zeros(sum(map(len, texts)) + len(texts), np.uint16)
-    at, cuts, begun = 0, [0], 0
-    for t in texts:
-        marked[at : at + len(t)] = np.frombuffer(t, np.uint8)
-        marked[at : at + len(t)] += 1
-        at += len(t) + 1
-        if at - begun >= shard:
-            cuts.append(at)
-            begun = at
-    if cuts[-1] < at:
-        cuts.append(at)
-    shards = [(a, *shard_bwt(marked[a:b], length)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    that starts elsewhere too; sorted. Texts are dealt to shards in turn, so that neighbours, which are alike, meet in
+    the merge and not in a shard's sort."""
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    count = int(-(-begins[-1] // shard)) if texts else 0
+    shards, placed = [], 0
+    for k in range(count):
+        own = range(k, len(texts), count)
+        marked = np.zeros(sum(len(texts[i]) + 1 for i in own), np.uint16)
+        where = np.empty(len(marked), np.int64)
+        at = 0
+        for i in own:
+            n = len(texts[i])
+            marked[at : at + n] = np.frombuffer(texts[i], np.uint8)
+            marked[at : at + n] += 1
+            where[at : at + n + 1] = np.arange(begins[i], begins[i] + n + 1)
+            at += n + 1
+        if at:
+            order, bwt, lf = shard_bwt(marked, length)
+            shards.append((where[order], bwt, placed + lf))
+            placed += at
     if not shards:
         return np.zeros(0, np.int64)
-    suffix = np.concatenate([a + s for a, s, _, _ in shards])
-    bwt = np.concatenate([b for _, _, b, _ in shards])
-    step = np.concatenate([a + lf for a, _, _, lf in shards]).astype(np.int32)  # a shard's rows begin where its symbols do
+    suffix = np.concatenate([s for s, _, _ in shards])
+    bwt = np.concatenate([b for _, b, _ in shards])
+    step = np.concatenate([lf for _, _, lf in shards]).astype(np.int32)
     pair = bwt.astype(np.int64) * 257 + bwt[step]
     pair = np.where((bwt > 0) & (bwt[step] > 0), pair, 0).astype(np.int64)
     # 65,792 pairs: ranks of those that occur fit into 16 bits, which sort by counting

@@ -28,7 +28,7 @@ from .bwt_merge import covered, repeated_starts
 from .common import column, cut, with_columns
 
 LENGTH = 200
-GRAM = 32
+GRAM = 64
 GROUP_BYTES = 2 << 20
 BATCH_BYTES = 1 << 20
 
