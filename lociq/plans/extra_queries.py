@@ -123,7 +123,7 @@ def distance_map(spark, sf_dir):
     return rl.last_of(spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("k2p"), "o_orderkey"), ["key"], ["o_orderkey"]).drop("o_orderkey")
 
 
-@query("s14_finder_text", "SELECT 'c' || (id % 5) AS seqid, start0 AS s, end0 AS e, CAST(id % 5 AS BIGINT) AS seq_nr, round(CASE WHEN id % 2 = 0 THEN 95.0 ELSE 90.0 END, 2) AS similarity FROM uivl")
+@query("s14_finder_text", types={"similarity": "DOUBLE"}, sql="SELECT 'c' || (id % 5) AS seqid, start0 AS s, end0 AS e, CAST(id % 5 AS BIGINT) AS seq_nr, round(CASE WHEN id % 2 = 0 THEN 95.0 ELSE 90.0 END, 2) AS similarity FROM uivl")
 def finder_text(spark, sf_dir):
     """A finder's rows below their > headers; similarities up to 1 are fractions."""
     u = view(spark, sf_dir, "uivl").withColumn("file", (F.col("id") % 50).cast("string"))

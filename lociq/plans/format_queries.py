@@ -120,7 +120,7 @@ def clusters_with_rep(spark, sf_dir):
     return fm.clusters(lines(o, "o_orderkey", "rep", "member"), "with_rep").select("rep", "member")
 
 
-@query("s20_clusters_sized", "WITH m AS (SELECT DISTINCT CAST(o_custkey % 50 AS VARCHAR) AS rep, CAST(o_orderkey % 900 AS VARCHAR) AS member FROM orders), n AS (SELECT rep, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, rep) AS rank FROM m GROUP BY rep HAVING count(*) >= 5) SELECT m.rep, m.member, n.size, n.rank FROM m JOIN n USING (rep)")
+@query("s20_clusters_sized", types={"rank": "INTEGER"}, sql="WITH m AS (SELECT DISTINCT CAST(o_custkey % 50 AS VARCHAR) AS rep, CAST(o_orderkey % 900 AS VARCHAR) AS member FROM orders), n AS (SELECT rep, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, rep) AS rank FROM m GROUP BY rep HAVING count(*) >= 5) SELECT m.rep, m.member, n.size, n.rank FROM m JOIN n USING (rep)")
 def clusters_sized(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumns({"rep": F.col("o_custkey") % 50, "member": F.col("o_orderkey") % 900})
     return fm.clusters(lines(o, "o_orderkey", "rep", "member"), "sized", 5)
@@ -145,7 +145,7 @@ def kmer_dump(spark, sf_dir):
     return fm.kmer_dump(lines(p, "p_brand", "p_brand", "n", sep=" ")).select("kmer", "n")
 
 
-@query("s25_chromosome_sets", "WITH s AS (SELECT r_regionkey, row_number() OVER (ORDER BY r_regionkey) AS set_id FROM region WHERE r_regionkey <> 2) SELECT set_id, unnest(['chr' || r_regionkey, 'B', 'C']) AS seqid FROM s")
+@query("s25_chromosome_sets", types={"set_id": "INTEGER"}, sql="WITH s AS (SELECT r_regionkey, row_number() OVER (ORDER BY r_regionkey) AS set_id FROM region WHERE r_regionkey <> 2) SELECT set_id, unnest(['chr' || r_regionkey, 'B', 'C']) AS seqid FROM s")
 def chromosome_sets(spark, sf_dir):
     r = spark.read.parquet(f"{sf_dir}/region.parquet")
     text = F.when(F.col("r_regionkey") == 2, "single # one name is no set").otherwise(F.concat(F.lit("chr"), "r_regionkey", F.lit(" B,C # note")))

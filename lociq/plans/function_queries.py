@@ -54,7 +54,7 @@ def signature(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy(ps.signature(F.col("c_name")).alias("signature")).agg(F.count("*").alias("n"))
 
 
-@query("p09_natural_order", "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS place FROM customer")
+@query("p09_natural_order", types={"place": "INTEGER"}, sql="SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS place FROM customer")
 def natural_order(spark, sf_dir):
     from pyspark.sql import Window as W
 
@@ -199,7 +199,7 @@ def distances(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", "l_partkey", *[F.round(x[c], 9).alias(c) for c in ("raw", "jc69", "k2p")])
 
 
-@query("x07_btop", "SELECT o_orderkey, o_custkey % 100 + 7 AS matches, 2 AS transitions, 1 AS transversions FROM orders")
+@query("x07_btop", types={"transitions": "BIGINT", "transversions": "BIGINT"}, sql="SELECT o_orderkey, o_custkey % 100 + 7 AS matches, 2 AS transitions, 1 AS transversions FROM orders")
 def btop(spark, sf_dir):
     b = F.concat((F.col("o_custkey") % 100).cast("string"), F.lit("AG5-AN-CT2GC"))
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", sq.btop_counts(b).alias("c")).select("o_orderkey", "c.*")
@@ -228,7 +228,7 @@ def motif(spark, sf_dir):
     return view(spark, sf_dir, "dna").where("length(seq) >= 4").select("doc_id", sq.motif(F.col("seq")).alias("motif"))
 
 
-@query("x16_hamming", "SELECT doc_id, hamming(substr(seq, 1, 30), substr(seq, 31, 30)) AS d FROM dna WHERE length(seq) >= 60")
+@query("x16_hamming", types={"d": "INTEGER"}, sql="SELECT doc_id, hamming(substr(seq, 1, 30), substr(seq, 31, 30)) AS d FROM dna WHERE length(seq) >= 60")
 def hamming(spark, sf_dir):
     return view(spark, sf_dir, "dna").where("length(seq) >= 60").select("doc_id", sq.hamming(F.substring("seq", 1, 30), F.substring("seq", 31, 30)).alias("d"))
 
@@ -244,7 +244,7 @@ def clean_lifted(spark, sf_dir):
     return d.select("doc_id", sq.clean_lifted(F.concat(F.substring("text", 1, 200), F.lit("~12~-aB"))).alias("t"))
 
 
-@query("x19_masked_fraction", "SELECT doc_id, length(regexp_replace(substr(text, 1, 500), '[^ACGTacgt]', '', 'g')) AS bp, round(1 - length(regexp_replace(substr(text, 1, 500), '[^ACGTacgt]', '', 'g')) / length(substr(text, 1, 500)), 9) AS masked FROM documents WHERE length(text) > 0")
+@query("x19_masked_fraction", types={"bp": "INTEGER"}, sql="SELECT doc_id, length(regexp_replace(substr(text, 1, 500), '[^ACGTacgt]', '', 'g')) AS bp, round(1 - length(regexp_replace(substr(text, 1, 500), '[^ACGTacgt]', '', 'g')) / length(substr(text, 1, 500)), 9) AS masked FROM documents WHERE length(text) > 0")
 def masked_fraction(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 0").withColumn("t", F.substring("text", 1, 500))
     return d.select("doc_id", sq.acgt_bp(F.col("t")).alias("bp"), F.round(sq.masked_fraction(F.col("t")), 9).alias("masked"))

@@ -55,7 +55,7 @@ def manifest(spark, sf_dir):
     return m.withColumn("path", F.concat(F.lit("clusters/"), ps.sanitised(F.col("rep")), F.lit(".fa")))
 
 
-@query("o01_outer_first", "SELECT id, row_number() OVER (PARTITION BY seqid ORDER BY start0, end0 DESC, id) AS place FROM uivl")
+@query("o01_outer_first", types={"place": "INTEGER"}, sql="SELECT id, row_number() OVER (PARTITION BY seqid ORDER BY start0, end0 DESC, id) AS place FROM uivl")
 def outer_first(spark, sf_dir):
     return view(spark, sf_dir, "uivl").select("id", F.row_number().over(W.partitionBy("seqid").orderBy("start0", F.desc("end0"), "id")).alias("place"))
 
@@ -141,7 +141,7 @@ def unknown_sequences(spark, sf_dir):
     return view(spark, sf_dir, "uivl").join(known, "seqid", "left_anti").select("seqid").distinct()
 
 
-@query("z32_corrected_length", "SELECT a.id, a.end0 - a.start0 - coalesce(sum(b.end0 - b.start0), 0) AS own FROM uivl a LEFT JOIN uivl b ON a.seqid = b.seqid AND a.start0 <= b.start0 AND b.end0 <= a.end0 AND b.end0 - b.start0 < a.end0 - a.start0 AND b.id % 2 = 0 GROUP BY a.id, a.start0, a.end0")
+@query("z32_corrected_length", types={"own": "BIGINT"}, sql="SELECT a.id, a.end0 - a.start0 - coalesce(sum(b.end0 - b.start0), 0) AS own FROM uivl a LEFT JOIN uivl b ON a.seqid = b.seqid AND a.start0 <= b.start0 AND b.end0 <= a.end0 AND b.end0 - b.start0 < a.end0 - a.start0 AND b.id % 2 = 0 GROUP BY a.id, a.start0, a.end0")
 def corrected_length(spark, sf_dir):
     u = view(spark, sf_dir, "uivl").select("id", "seqid", "start0", "end0")
     inside = iv.contains(("start0", "end0"), ("b_start0", "b_end0")) & (F.col("b_end0") - F.col("b_start0") < F.col("end0") - F.col("start0"))

@@ -10,8 +10,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query; ``sql`` may use the fixture views, which are put before it."""
+def query(name: str, sql: str | None = None, types: dict[str, str] | None = None):
+    """Register a query; ``sql`` may use the fixture views, which are put before it. ``types``: of columns that SQL
+    would give another type than the query has."""
 
     def add(f):
         from .fixtures import with_views
@@ -21,6 +22,9 @@ def query(name: str, sql: str | None = None):
         QUERIES[name] = f
         if sql:
             SQL[name] = with_views(sql)
+            if types:
+                casts = ", ".join(f'CAST("{c}" AS {t}) AS "{c}"' for c, t in types.items())
+                SQL[name] = f"SELECT * REPLACE ({casts}) FROM ({SQL[name]})"
         return f
 
     return add

@@ -49,7 +49,7 @@ def _genes(spark, sf_dir):
     return a, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("gene"), *at("s_suppkey", "B"))
 
 
-@query("j03_gene_pair_spans", f"""
+@query("j03_gene_pair_spans", types={"ord": "INTEGER"}, sql=f"""
 WITH {ANCHORS}, p AS (SELECT *, lead(gene_a) OVER w AS na, lead(gene_b) OVER w AS nb FROM a WINDOW w AS (PARTITION BY cluster ORDER BY ord)),
 g AS (SELECT p_partkey AS gene FROM part WHERE p_partkey % 10 <> 0)
 SELECT cluster, ord, 'A_chr' || (gene_a % 5) AS seq1, least(gene_a, na) * 1000 AS s1, greatest(gene_a, na) * 1000 + 700 AS e1,
@@ -93,7 +93,7 @@ def _blocks(spark, sf_dir):
     return b.withColumn("ord", order).select(*sy._COLUMNS)
 
 
-@query("j07_contained_blocks", f"WITH {BLOCKS} SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.seq1 = b.seq1 AND o.seq2 = b.seq2 AND o.strand = b.strand AND o.s1 <= b.s1 AND b.e1 <= o.e1 AND o.s2 <= b.s2 AND b.e2 <= o.e2 AND o.ord <> b.ord)")
+@query("j07_contained_blocks", types={"ord": "INTEGER"}, sql=f"WITH {BLOCKS} SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.seq1 = b.seq1 AND o.seq2 = b.seq2 AND o.strand = b.strand AND o.s1 <= b.s1 AND b.e1 <= o.e1 AND o.s2 <= b.s2 AND b.e2 <= o.e2 AND o.ord <> b.ord)")
 def contained_blocks(spark, sf_dir):
     return sy.drop_contained(_blocks(spark, sf_dir))
 
@@ -108,7 +108,7 @@ def absorb_short(spark, sf_dir):
     return sy.absorb_short(_blocks(spark, sf_dir), 1500)
 
 
-@query("i16_stitch", f"""
+@query("i16_stitch", types={"ord": "INTEGER"}, sql=f"""
 WITH {BLOCKS}, r AS (SELECT *, row_number() OVER (PARTITION BY seq1, seq2, strand ORDER BY s2, s1, ord) AS k2 FROM b),
 g AS (SELECT seq1, seq2, strand, e1 AS s1, lead(s1) OVER w AS e1, e2 AS s2, lead(s2) OVER w AS e2, lead(k2) OVER w - k2 AS k, ord FROM r WINDOW w AS (PARTITION BY seq1, seq2, strand ORDER BY s1, s2, ord)),
 f AS (SELECT * FROM g WHERE e1 > s1 AND e2 > s2 AND abs(k) = 1 AND NOT EXISTS (SELECT 1 FROM b o WHERE o.seq1 = g.seq1 AND o.seq2 = g.seq2 AND o.strand <> g.strand AND o.s1 <= g.e1 AND o.e1 >= g.s1 AND o.s2 <= g.e2 AND o.e2 >= g.s2))
@@ -170,7 +170,7 @@ def genes_in_block(spark, sf_dir):
     return near.join(near.withColumnRenamed("id", "other"), ["seqid", "s", "e"]).where("id < other").select("id", "other").distinct()
 
 
-@query("j21_sequence_pairs", "SELECT a.doc_id, length(a.seq) AS cds, length(b.text) AS pep FROM dna a JOIN documents b USING (doc_id) WHERE doc_id % 2 = 0")
+@query("j21_sequence_pairs", types={"cds": "INTEGER", "pep": "INTEGER"}, sql="SELECT a.doc_id, length(a.seq) AS cds, length(b.text) AS pep FROM dna a JOIN documents b USING (doc_id) WHERE doc_id % 2 = 0")
 def sequence_pairs(spark, sf_dir):
     """j22 and z40 as well: sequences by id."""
     d = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", F.length("text").alias("pep"))
@@ -480,7 +480,7 @@ def neighbourhood(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.max("value").over(W.partitionBy(F.col("user_id") % 8).orderBy("event_id").rowsBetween(-100, 100)).alias("near"))
 
 
-@query("o03_size_numbering", "SELECT seqid, row_number() OVER (ORDER BY max(end0) DESC, seqid) AS number FROM ivl GROUP BY seqid")
+@query("o03_size_numbering", types={"number": "INTEGER"}, sql="SELECT seqid, row_number() OVER (ORDER BY max(end0) DESC, seqid) AS number FROM ivl GROUP BY seqid")
 def size_numbering(spark, sf_dir):
     n = view(spark, sf_dir, "ivl").groupBy("seqid").agg(F.max("end0").alias("n"))
     return n.select("seqid", F.row_number().over(W.orderBy(F.desc("n"), "seqid")).alias("number"))
