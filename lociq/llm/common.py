@@ -60,7 +60,7 @@ def with_columns(df: DataFrame, new: str, compute) -> DataFrame:
 
     def run(batches):
         types = [f.type for f in to_arrow_schema(fields)]
-        for batch in batches:
+        for batch in sliced(batches):
             old = [batch.column(batch.schema.names.index(f.name)) for f in kept]
             made = [pa.array(x, t) if not isinstance(x, pa.Array) else x.cast(t) for x, t in zip(compute(batch), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*old, *made], names=[f.name for f in schema])
@@ -68,6 +68,13 @@ def with_columns(df: DataFrame, new: str, compute) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def sliced(batches, rows: int = 512):
+    """The batches in pieces of some rows, so that what Python holds of long texts at once stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def column(batch, name: str) -> list:
     """The Python values of a batch's column."""
     return batch.column(batch.schema.names.index(name)).to_pylist()

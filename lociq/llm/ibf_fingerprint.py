@@ -23,6 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 PARTS = 3
 CELLS = 18
 LONG = 512
@@ -172,7 +174,7 @@ def _follow(names: list[str]):
     def run(batches):
         ready: list[tuple] = []
         chars, held = 0, None  # held: (group, doc_id, text), waits for the row behind it
-        for batch in batches:
+        for batch in sliced(batches):
             for group, lead, doc, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 text = text or ""
                 if held and held[0] == group:
@@ -194,7 +196,7 @@ def _deal(edges: list[int], leads: dict[int, tuple[int, int | None]]):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch.column(0)
             known = np.asarray(ids.is_valid())
             values = np.asarray(ids.fill_null(0))
@@ -234,7 +236,7 @@ def _groups(edges: list[int]):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch.column(0)
             group = np.where(np.asarray(ids.is_valid()), np.searchsorted(edges, np.asarray(ids.fill_null(0)), side="left"), -1)
             yield pa.RecordBatch.from_arrays([pa.array(group.astype("<i8")), ids], names=["group", "doc_id"])

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, with_columns
+from .common import column, sliced, with_columns
 from .ngrams import counted, present
 from .quality import bounded, held_out
 
@@ -34,7 +34,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         import pyarrow as pa
 
         total, n = np.zeros(1 << BITS, np.int64), 0
-        for batch in batches:
+        for batch in sliced(batches):
             for t in column(batch, "text"):
                 total[present((t or "").lower(), ORDERS, BITS)] += 1
                 n += 1
@@ -122,7 +122,7 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             made = [counted((t or "").lower(), ORDERS, BITS) for t in column(batch, "text")]
             at, count = ([m[i].astype("<i4").tobytes() for m in made] for i in range(2))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index("doc_id")), pa.array(column(batch, "lang"), pa.string()), pa.array(at, pa.binary()), pa.array(count, pa.binary())], names=["doc_id", "lang", "at", "n"])

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, with_columns
+from .common import column, sliced, with_columns
 from .ngrams import MIX, hashed
 
 ORDERS, BITS = (1, 2, 3), 18
@@ -137,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             made = [features(t).astype("<i4").tobytes() for t in column(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index("doc_id")), batch.column(batch.schema.names.index("quality")).cast(pa.int32()), pa.array(made, pa.binary())], names=["doc_id", "quality", "at"])
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bwt_merge import covered, repeated_starts
-from .common import column, cut, with_columns
+from .common import column, cut, sliced, with_columns
 
 LENGTH = 200
 GRAM = 64
@@ -70,7 +70,7 @@ def _packed(length: int, text: str):
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [(*_key(t), len(t), pack(t)) for t in ((x or "").encode() for x in column(batch, text)) if len(t) >= length]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["d1", "d2", "n", "z"])
 
@@ -96,14 +96,14 @@ def _occurrences(length: int):
         import xxhash
 
         digest = xxhash.xxh64_intdigest
-        for batch in batches:
+        for batch in sliced(batches):
             made: list = []
             for data, d1, d2, copies in zip(_unpack(batch), *(column(batch, c) for c in ("d1", "d2", "copies")), strict=True):
                 anchor, begin, end, again = contexts(data, length)
                 content = np.array([digest(data[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)], np.uint64).view("<i8")
                 fill = lambda v, n=len(begin): np.full(n, v, "<i8")
                 made.append((anchor, content, fill(d1), fill(d2), begin.astype("<i4"), end.astype("<i4"), fill(copies), again))
-                if sum(len(m[0]) for m in made) >= 100_000:
+                if sum(len(m[0]) for m in made) >= 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made, strict=True)], names=OCCURRENCE)
                     made = []
             if made:
@@ -122,7 +122,7 @@ def _extract(batches):
 
     names = ["anchor", "content", "one", "large", "bytes"]
     types = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
-    for batch in batches:
+    for batch in sliced(batches):
         rows = []
         for data, wanted in zip(_unpack(batch), column(batch, "wanted"), strict=True):
             rows += [(w["anchor"], w["content"], w["one"], w["large"], data[w["begin"] : w["end"]]) for w in wanted]
@@ -145,7 +145,7 @@ def _merge(length: int):
 
     def run(batches):
         held, size, last = [], 0, None
-        for batch in batches:
+        for batch in sliced(batches):
             for row in zip(*(column(batch, c) for c in ("anchor", "content", "one", "bytes")), strict=True):
                 if size >= BATCH_BYTES and row[0] != last:
                     yield spans(held)
@@ -262,7 +262,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str, length: int = LENGTH) ->
     def cleaned(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for data, p in zip(_unpack(batch), column(batch, "parts"), strict=True):
                 spans = unite(p)
@@ -291,7 +291,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     def cleaned(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             made = [without(d, _inwards(d, unite(p))).decode() for d, p in zip(_unpack(batch), column(batch, "parts"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string())], names=["d1", "d2", "kept"])
 
