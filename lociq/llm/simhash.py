@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import column, cut, drop_cut, with_columns
 from .components import components
+from .near_copies import near_roots, with_nodes
 
 CHUNK = 2048
 BUCKET = 128
@@ -195,13 +196,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(prints).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """One row of each group stays: that with the least doc_id (null last), of these that with the least text hash."""
-    own = F.xxhash64(F.coalesce("text", F.lit("")))
-    prints = cut(with_fingerprints(docs.select("doc_id", "text").withColumn("h", own), words=words).select("doc_id", "h", "fingerprint"))
-    roots = fingerprint_roots(prints, radius).select(F.col("fingerprint").alias("__f"), "root")
-    least = prints.join(roots, prints["fingerprint"] == roots["__f"]).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("m"))
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each group of near copies (``near_copies``: five-word shingles, similarity 0.8 or more, transitive)
+    stays: that with the least doc_id (null last), of these that with the least text hash."""
+    texts = docs.select("doc_id", "text").withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    ids = cut(with_nodes(texts).drop("text"))
+    roots = near_roots(texts, ids).withColumnRenamed("node", "__n")
+    least = ids.join(roots, ids["node"] == roots["__n"], "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("m"))
     least = least.select(F.col("m.doc_id").alias("__id"), F.col("m.h").alias("__lh"))
-    rows = docs.withColumn("__h", own)
+    rows = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
     kept = rows.join(least, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__lh")), "left_semi")
     return kept.dropDuplicates(["doc_id", "__h"]).select(*docs.columns)
