@@ -28,22 +28,27 @@ def accession(name: Column, last: bool = False) -> Column:
 
 
 def gene_token(token: Column) -> Column:
-    """struct<species, number, copy> of letters, digits and an optional _copy."""
+    """struct<species, number, copy> of letters, digits and an optional _copy; all are text, so zeros in front stay."""
     pattern = r"^([A-Za-z]+)(\d+)(?:_(\d+))?$"
     part = lambda i: F.regexp_extract(token, pattern, i)
-    return F.struct(F.nullif(part(1), F.lit("")).alias("species"), F.nullif(part(2), F.lit("")).cast("bigint").alias("number"), F.nullif(part(3), F.lit("")).cast("int").alias("copy"))
+    return F.struct(F.nullif(part(1), F.lit("")).alias("species"), F.nullif(part(2), F.lit("")).alias("number"), F.nullif(part(3), F.lit("")).alias("copy"))
 
 
 def species(name: Column) -> Column:
-    """The part before _chr or _sca, else before the first underscore."""
-    return F.coalesce(F.nullif(F.regexp_extract(name, r"^(.*?)_(?:chr|sca)", 1), F.lit("")), accession(name))
+    """The letters before _chr or _sca, else the leading letters; null where there are none."""
+    return F.nullif(F.regexp_extract(name, r"^([A-Za-z]+)", 1), F.lit(""))
+
+
+#: How a header may spell the word, and the chromosomes that have a letter for a number (fixed values).
+CHROMOSOME = r"(?:[Cc]hr(?:o(?:m(?:osome)?)?)?|CHR(?:O(?:M(?:OSOME)?)?)?)[ _-]*:? ?(\d+|[XYZW])([A-Za-z]+)?"
 
 
 def chromosome(header: Column) -> Column:
-    """struct<number, letter> of a header such as ``Chr01a``: no leading zeros, the letter in upper case."""
-    pattern = r"(?i)chr(?:omosome)?[_ ]?0*(\d+)([a-z]?)"
-    number = F.nullif(F.regexp_extract(header, pattern, 1), F.lit("")).cast("int")
-    return F.struct(number.alias("number"), F.nullif(F.upper(F.regexp_extract(header, pattern, 2)), F.lit("")).alias("letter"))
+    """struct<number, letter> of a header such as ``Chr01a``: text without zeros in front, or X, Y, Z, W; letters behind
+    it in upper case. Nulls where the header names no chromosome."""
+    number = F.regexp_replace(F.regexp_extract(header, CHROMOSOME, 1), r"^0+(?=\d)", "")
+    letter = F.upper(F.regexp_extract(header, CHROMOSOME, 2))
+    return F.struct(F.nullif(number, F.lit("")).alias("number"), F.nullif(letter, F.lit("")).alias("letter"))
 
 
 def signature(header: Column) -> Column:
@@ -57,33 +62,35 @@ def natural_key(name: Column, width: int = 20) -> Column:
 
 
 def letters(index: Column) -> Column:
-    """0 -> A, 25 -> Z, 26 -> AA, …; up to three letters."""
-    letter = lambda i: F.char((i + 65).cast("int"))
-    one, two = F.lit(26), F.lit(26 + 26 * 26)
-    second, third = index - 26, index - 26 - 676
-    return (
-        F.when(index < one, letter(index))
-        .when(index < two, F.concat(letter(F.floor(second / 26)), letter(second % 26)))
-        .otherwise(F.concat(letter(F.floor(third / 676)), letter(F.floor(third / 26) % 26), letter(third % 26)))
-    )
+    """1 -> A, 26 -> Z, 27 -> AA, …, for any long; null below 1."""
+
+    def longer(state: Column, _: Column) -> Column:
+        rest = state["rest"] - 1
+        more = F.struct(F.call_function("div", rest, F.lit(26)).alias("rest"), F.concat(F.char(rest % 26 + 65), state["text"]).alias("text"))
+        return F.when(state["rest"] > 0, more).otherwise(state)
 
+    start = F.struct(index.cast("bigint").alias("rest"), F.lit("").alias("text"))
+    # 26 ** 14 exceeds a long
+    return F.nullif(F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, longer)["text"], F.lit(""))
 
-DOMAIN = r"^([^|;]+)\|([^|;@]*)@(\d+)-(\d+)$"
+
+DOMAIN = r"^([^|@]+)\|([^@]*)@(\d+)-(\d+)$"
 
 
 def domains(cell: Column, mode: str = "strict") -> Column:
     """array<struct<gene, clade, start, end>> of ``GENE|Clade@s-e;…`` or ``.``.
 
-    strict: a bad token empties the list. lenient: bad tokens are skipped, reversed ends swapped.
+    strict: a bad token empties the list. lenient: bad tokens are skipped, reversed ends swapped, genes normalised.
     """
-    tokens = F.filter(F.split(F.coalesce(cell, F.lit(".")), ";"), lambda t: (t != "") & (t != "."))
+    cell = F.nullif(F.coalesce(cell, F.lit(".")), F.lit("."))
+    tokens = F.when(cell != "", F.transform(F.split(cell, ";"), lambda t: F.trim(t))).otherwise(F.array().cast("array<string>"))
     good = F.filter(tokens, lambda t: t.rlike(DOMAIN))
 
     def parse(t: Column) -> Column:
-        s, e = F.regexp_extract(t, DOMAIN, 3).cast("bigint"), F.regexp_extract(t, DOMAIN, 4).cast("bigint")
+        gene, s, e = F.regexp_extract(t, DOMAIN, 1), F.regexp_extract(t, DOMAIN, 3).cast("bigint"), F.regexp_extract(t, DOMAIN, 4).cast("bigint")
         if mode == "lenient":
-            s, e = F.least(s, e), F.greatest(s, e)
-        return F.struct(F.regexp_extract(t, DOMAIN, 1).alias("gene"), F.regexp_extract(t, DOMAIN, 2).alias("clade"), s.alias("start"), e.alias("end"))
+            gene, s, e = protein(gene), F.least(s, e), F.greatest(s, e)
+        return F.struct(gene.alias("gene"), F.regexp_extract(t, DOMAIN, 2).alias("clade"), s.alias("start"), e.alias("end"))
 
     parsed = F.transform(good, parse)
     if mode == "lenient":
@@ -99,28 +106,39 @@ def nests(cell: Column, role: str | None = None) -> Column:
     return parsed if role is None else F.filter(parsed, lambda p: p["role"] == f"nest-{role}")
 
 
-#: Protein names and what they are short for (fixed values).
-PROTEINS = {"INTEGRASE": "INT", "PROTEASE": "PROT", "AP": "PROT", "REVERSE_TRANSCRIPTASE": "RT", "RNASEH": "RH", "RNASE_H": "RH", "CAPSID": "GAG", "CHROMODOMAIN": "CHD", "CHDCR": "CHD"}
+#: Protein names and what they are short for (fixed values); all others stay.
+PROTEINS = {"INTEGRASE": "INT", "PROTEASE": "PROT", "RNASEH": "RH", "ARNASEH": "ARH"}
 
 
 def protein(name: Column) -> Column:
-    key = F.regexp_replace(F.upper(F.trim(name)), r"[\s-]+", "_")
-    out = F.lit(None).cast("string")
-    for k, v in PROTEINS.items():
-        out = F.when(key == k, v).otherwise(out)
-    return F.coalesce(out, key)
+    """Upper-case letters and digits only, long names shortened."""
+    key = F.regexp_replace(F.upper(name), "[^A-Z0-9]+", "")
+    short = F.create_map(*[F.lit(x) for pair in PROTEINS.items() for x in pair])
+    return F.coalesce(short[key], key)
 
 
 def clade_path(path: Column) -> Column:
-    """struct<order, superfamily> of a Class_I/LTR/… path; unknown where it tells nothing."""
-    has = lambda p: F.coalesce(path.rlike(rf"(?i)(^|/){p}(/|$)"), F.lit(False))
-    order = F.when(has("LTR") | has("Ty1[_-]?copia") | has("Ty3[_-]?gypsy"), "LTR").when(has("LINE"), "LINE").when(has("TIR"), "TIR").when(has("Helitron"), "Helitron").otherwise("unknown")
-    superfamily = F.when(has("Ty1[_-]?copia"), "Copia").when(has("Ty3[_-]?gypsy"), "Gypsy").when(has("Bel-Pao"), "Bel-Pao").otherwise("unknown")
-    return F.struct(order.alias("order"), superfamily.alias("superfamily"))
+    """struct<order, superfamily> of a path such as Class_I/LTR/Ty1_copia/Ale; unknown where it tells nothing.
+
+    Class_I: order and superfamily are the second and third parts, but Ty1_copia… is Copia and Ty3_gypsy… Gypsy.
+    Class_II: the third and fourth. A path that begins with NA is a retrovirus of the order LTR.
+    """
+    parts = F.split(path, "/")
+    at = lambda i: F.coalesce(F.get(parts, i), F.lit("unknown"))
+    pair = lambda order, superfamily: F.struct(order.alias("order"), superfamily.alias("superfamily"))
+    retro = F.when(path.startswith("Class_I/LTR/Ty1_copia"), "Copia").when(path.startswith("Class_I/LTR/Ty3_gypsy"), "Gypsy").otherwise(at(2))
+    return (
+        F.when(path.startswith("Class_I/"), pair(at(1), retro))
+        .when(path.startswith("Class_II/"), pair(at(2), at(3)))
+        .when(path.startswith("NA"), pair(F.lit("LTR"), F.lit("Retrovirus")))
+        .otherwise(pair(F.lit("unknown"), F.lit("unknown")))
+    )
 
 
 def sanitised(name: Column) -> Column:
-    return F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_")
+    """Runs of other characters than letters, digits, dot, underscore and hyphen become an underscore, none of which
+    stays at either end; NA where nothing is left."""
+    return F.coalesce(F.nullif(F.btrim(F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_"), F.lit("_")), F.lit("")), F.lit("NA"))
 
 
 def attribute(attrs: Column, key: str) -> Column:

@@ -39,9 +39,13 @@ def strip_non_acgt(seq: Column) -> Column:
     return F.regexp_replace(seq, "[^ACGTacgt]", "")
 
 
-def motif(seq: Column) -> Column:
-    """The terminal dinucleotides."""
-    return F.concat(F.substring(seq, 1, 2), F.lit(".."), F.substring(seq, -2, 2))
+def motif(seq: Column, first: Column | None = None, last: Column | None = None) -> Column:
+    """The terminal dinucleotides, in upper case, of the element from ``first`` to ``last`` (1-based; the whole sequence
+    where not given); NA where the sequence doesn't hold them."""
+    first, last = F.lit(1) if first is None else first, F.length(seq) if last is None else last
+    held = (first > 0) & (last > 1) & (first + 1 <= F.length(seq))
+    left, right = F.substring(seq, first.cast("int"), F.lit(2)), F.substring(seq, last.cast("int") - 1, F.lit(2))
+    return F.when(held, F.concat(F.upper(left), F.lit("…"), F.upper(right))).otherwise("NA")
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -100,11 +104,11 @@ def gap_compressed_identity(cigar: Column) -> Column:
 
 
 def aligned_jc(a: Column, b: Column, cap: float = 3.0) -> Column:
-    """JC distance over columns where both hold a base; the cap from a difference of 3/4 on."""
+    """JC distance over columns where both hold a base; the cap from a difference of 3/4 on, 0 without such a column."""
     both = F.filter(F.arrays_zip(F.split(F.upper(a), "").alias("x"), F.split(F.upper(b), "").alias("y")), lambda p: p["x"].isin(*"ACGT") & p["y"].isin(*"ACGT"))
     n, d = F.size(both), F.size(F.filter(both, lambda p: p["x"] != p["y"]))
     raw = d / n
-    return F.when(n == 0, None).when(raw >= 0.75, cap).otherwise(-0.75 * F.log(1 - 4 * raw / 3))
+    return F.when(n == 0, 0.0).when(raw >= 0.75, cap).otherwise(-0.75 * F.log(1 - 4 * raw / 3))
 
 
 def shared_substring(left: Column, right: Column, least: int = 5, bases: int = 2) -> Column:

@@ -30,23 +30,28 @@ def accession(spark, sf_dir):
     return view(spark, sf_dir, "block").select("seq1", ps.accession(F.col("seq1")).alias("first"), ps.accession(F.col("seq1"), True).alias("last")).distinct()
 
 
-@query("p04_gene_token", "SELECT p_partkey, 'Zm' AS species, p_partkey AS number, CASE WHEN p_size % 2 = 0 THEN p_size END AS copy FROM part")
+@query("p04_gene_token", "SELECT p_partkey, 'Zm' AS species, lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS number, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) END AS copy FROM part")
 def gene_token(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    token = F.concat(F.lit("Zm"), "p_partkey", F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("_"), "p_size")).otherwise(""))
+    token = F.concat(F.lit("Zm"), F.lpad("p_partkey", 6, "0"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("_"), "p_size")).otherwise(""))
     return part.select("p_partkey", ps.gene_token(token).alias("g")).select("p_partkey", "g.*")
 
 
-@query("p06_species", "SELECT DISTINCT seq1, split_part(seq1, '_', 1) AS species FROM block")
+@query("p06_species", "SELECT o_orderkey, CASE o_custkey % 3 WHEN 0 THEN 'Bdact' WHEN 1 THEN 'Cdact' ELSE 'Etef' END AS species FROM orders")
 def species(spark, sf_dir):
-    return view(spark, sf_dir, "block").select("seq1", ps.species(F.col("seq1")).alias("species")).distinct()
+    name = F.element_at(F.array(F.lit("Bdact_chr"), F.lit("Cdact"), F.lit("Etef_sca")), (F.col("o_custkey") % 3 + 1).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", ps.species(F.concat(name, "o_orderkey")).alias("species"))
 
 
-@query("p07_chromosome", "SELECT o_orderkey, CAST(o_custkey % 30 AS INTEGER) AS number, CASE WHEN o_custkey % 3 = 0 THEN 'B' END AS letter FROM orders")
+@query("p07_chromosome", """
+SELECT o_orderkey, CASE o_custkey % 5 WHEN 0 THEN CAST(o_orderkey % 30 AS VARCHAR) WHEN 1 THEN 'X' WHEN 2 THEN CAST(o_orderkey % 30 AS VARCHAR) WHEN 3 THEN CAST(o_orderkey % 30 AS VARCHAR) END AS number,
+CASE o_custkey % 5 WHEN 2 THEN 'B' WHEN 3 THEN 'AA' END AS letter FROM orders""")
 def chromosome(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    header = F.concat(F.lit(">Chr0"), (F.col("o_custkey") % 30).cast("string"), F.when(F.col("o_custkey") % 3 == 0, "b").otherwise(""))
-    return o.select("o_orderkey", ps.chromosome(header).alias("c")).select("o_orderkey", "c.*")
+    """Headers >Chrom 3, >chrX, >Chr-02b, >CHR 04Aa, and >scaffold_5, which names none."""
+    n = (F.col("o_orderkey") % 30).cast("string")
+    forms = [F.concat(F.lit(">Chrom "), n), F.lit(">chrX"), F.concat(F.lit(">Chr-0"), n, F.lit("b")), F.concat(F.lit(">CHR 00"), n, F.lit("Aa first")), F.concat(F.lit(">scaffold_"), n)]
+    header = F.element_at(F.array(*forms), (F.col("o_custkey") % 5 + 1).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", ps.chromosome(header).alias("c")).select("o_orderkey", "c.*")
 
 
 @query("p08_signature", "SELECT regexp_replace(c_name, '[0-9]+', '#', 'g') AS signature, count(*) AS n FROM customer GROUP BY 1")
@@ -62,13 +67,16 @@ def natural_order(spark, sf_dir):
     return c.select("c_custkey", F.row_number().over(W.orderBy(ps.natural_key(F.col("name")))).alias("place"))
 
 
-@query("p10_letters", "SELECT p_partkey, CASE WHEN p_partkey <= 25 THEN chr(CAST(65 + p_partkey AS INTEGER)) ELSE chr(CAST(65 + (p_partkey - 26) // 26 AS INTEGER)) || chr(CAST(65 + (p_partkey - 26) % 26 AS INTEGER)) END AS letters FROM part WHERE p_partkey < 702")
+@query("p10_letters", """
+WITH RECURSIVE l AS (SELECT p_partkey, p_partkey * 7 AS rest, '' AS letters FROM part
+ UNION ALL SELECT p_partkey, (rest - 1) // 26, chr(CAST(65 + (rest - 1) % 26 AS INTEGER)) || letters FROM l WHERE rest > 0)
+SELECT p_partkey, nullif(letters, '') AS letters FROM l WHERE rest = 0""")
 def letters(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey < 702").select("p_partkey", ps.letters(F.col("p_partkey")).alias("letters"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", ps.letters(F.col("p_partkey") * 7).alias("letters"))
 
 
 def _cells(spark, sf_dir):
-    cell = F.concat(F.lit("GAG|Ale@"), "start0", F.lit("-"), "end0", F.when(F.col("id") % 5 == 0, ";broken").otherwise(""), F.lit(";RT|"), "family", F.lit("@"), "end0", F.lit("-"), "start0")
+    cell = F.concat(F.lit("aRNase H|Ale@"), "start0", F.lit("-"), "end0", F.when(F.col("id") % 5 == 0, ";broken").otherwise(""), F.lit(";RT|"), "family", F.lit("@"), "end0", F.lit("-"), "start0")
     return view(spark, sf_dir, "uivl").select("id", cell.alias("cell"))
 
 
@@ -77,10 +85,10 @@ def domains_strict(spark, sf_dir):
     return _cells(spark, sf_dir).withColumn("d", ps.domains(F.col("cell"))).select("id", F.size("d").alias("n"), F.get("d", 1)["start"].alias("second"))
 
 
-@query("p11_domains_lenient", "SELECT id, 2 AS n, start0 AS second, family AS clade FROM uivl")
+@query("p11_domains_lenient", "SELECT id, 2 AS n, 'ARH' AS gene, start0 AS second, family AS clade FROM uivl")
 def domains_lenient(spark, sf_dir):
     d = _cells(spark, sf_dir).withColumn("d", ps.domains(F.col("cell"), "lenient"))
-    return d.select("id", F.size("d").alias("n"), F.get("d", 1)["start"].alias("second"), F.get("d", 1)["clade"].alias("clade"))
+    return d.select("id", F.size("d").alias("n"), F.get("d", 0)["gene"].alias("gene"), F.get("d", 1)["start"].alias("second"), F.get("d", 1)["clade"].alias("clade"))
 
 
 @query("p12_nests", "SELECT id, CASE WHEN id % 2 = 0 THEN seqid || ':' || start0 || '-' || end0 END AS outer_key, CASE WHEN id % 2 = 0 THEN 2 ELSE 0 END AS n FROM uivl")
@@ -90,21 +98,31 @@ def nests(spark, sf_dir):
     return u.select("id", F.get(ps.nests(F.col("cell"), "outer"), 0)["key"].alias("outer_key"), F.size(ps.nests(F.col("cell"))).alias("n"))
 
 
-@query("p13_proteins", "SELECT event_id, CASE event_type WHEN 'click' THEN 'PROT' WHEN 'purchase' THEN 'RH' ELSE upper(event_type) END AS protein FROM events")
+PROTEIN_NAMES = [("ap", "AP"), ("Reverse-transcriptase", "REVERSETRANSCRIPTASE"), ("aRNase H", "ARH"), ("RNase-H", "RH"), ("chdcr", "CHDCR"), (" integrase", "INT"), ("Protease", "PROT")]
+
+
+@query("p13_proteins", "SELECT event_id, CASE event_id % 7 " + " ".join(f"WHEN {i} THEN '{n}'" for i, (_, n) in enumerate(PROTEIN_NAMES)) + " END AS protein FROM events")
 def proteins(spark, sf_dir):
-    name = F.when(F.col("event_type") == "click", "ap").when(F.col("event_type") == "purchase", "RNase H").otherwise(F.col("event_type"))
+    name = F.element_at(F.array(*[F.lit(raw) for raw, _ in PROTEIN_NAMES]), (F.col("event_id") % 7 + 1).cast("int"))
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", ps.protein(name).alias("protein"))
 
 
-@query("p14_clade_path", "SELECT o_orderkey, CASE WHEN o_custkey % 3 = 2 THEN 'LINE' ELSE 'LTR' END AS \"order\", CASE o_custkey % 3 WHEN 0 THEN 'Copia' WHEN 1 THEN 'Gypsy' ELSE 'unknown' END AS superfamily FROM orders")
+CLADE_PATHS = [
+    ("Class_I/LTR/Ty1_copia/Ale", "LTR", "Copia"), ("Class_I/LTR/Ty3_gypsy/chromovirus", "LTR", "Gypsy"), ("Class_I/LTR/Retrovirus", "LTR", "Retrovirus"), ("Class_I/LINE", "LINE", "unknown"),
+    ("Class_I/SINE/tRNA", "SINE", "tRNA"), ("Class_II/Subclass_1/TIR/hAT", "TIR", "hAT"), ("Class_II/Subclass_2", "unknown", "unknown"), ("NA_x", "LTR", "Retrovirus"), ("Ale", "unknown", "unknown"),
+]
+
+
+@query("p14_clade_path", "SELECT o_orderkey, " + ", ".join(f"CASE o_orderkey % 9 {' '.join(f'WHEN {i} THEN {chr(39)}{p[k]}{chr(39)}' for i, p in enumerate(CLADE_PATHS))} END AS \"{n}\"" for k, n in ((1, "order"), (2, "superfamily"))) + " FROM orders")
 def clade_path(spark, sf_dir):
-    path = F.element_at(F.array(F.lit("Class_I/LTR/Ty1_copia/Ale"), F.lit("Class_I/LTR/Ty3_gypsy/chromovirus"), F.lit("Class_I/LINE")), (F.col("o_custkey") % 3 + 1).cast("int"))
+    path = F.element_at(F.array(*[F.lit(p[0]) for p in CLADE_PATHS]), (F.col("o_orderkey") % 9 + 1).cast("int"))
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", ps.clade_path(path).alias("c")).select("o_orderkey", "c.*")
 
 
-@query("p15_sanitised", "SELECT c_custkey, regexp_replace(c_mktsegment || ' / ' || c_name, '[^A-Za-z0-9._-]+', '_', 'g') AS name FROM customer")
+@query("p15_sanitised", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'NA' ELSE regexp_replace(trim(c_mktsegment), '[^A-Za-z0-9._-]+', '_', 'g') || '_' || regexp_replace(c_name, '[^A-Za-z0-9._-]+', '_', 'g') END AS name FROM customer")
 def sanitised(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", ps.sanitised(F.concat("c_mktsegment", F.lit(" / "), "c_name")).alias("name"))
+    name = F.when(F.col("c_custkey") % 5 == 0, "/ _ /").otherwise(F.concat(F.lit("_ "), "c_mktsegment", F.lit(" / "), "c_name", F.lit("_ ")))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", ps.sanitised(name).alias("name"))
 
 
 @query("p16_attributes", "SELECT o_orderkey, o_orderpriority AS Name FROM orders")
@@ -223,9 +241,9 @@ def tsd_jitter(spark, sf_dir):
     return sq.tsd_search(d, "l", "r").drop("l", "r")
 
 
-@query("x15_motif", "SELECT doc_id, substr(seq, 1, 2) || '..' || right(seq, 2) AS motif FROM dna WHERE length(seq) >= 4")
+@query("x15_motif", "SELECT doc_id, CASE WHEN length(seq) < 2 THEN 'NA' ELSE upper(substr(seq, 1, 2)) || '…' || upper(right(seq, 2)) END AS motif FROM dna")
 def motif(spark, sf_dir):
-    return view(spark, sf_dir, "dna").where("length(seq) >= 4").select("doc_id", sq.motif(F.col("seq")).alias("motif"))
+    return view(spark, sf_dir, "dna").select("doc_id", sq.motif(F.lower("seq")).alias("motif"))
 
 
 @query("x16_hamming", types={"d": "INTEGER"}, sql="SELECT doc_id, hamming(substr(seq, 1, 30), substr(seq, 31, 30)) AS d FROM dna WHERE length(seq) >= 60")

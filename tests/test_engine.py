@@ -222,7 +222,7 @@ def test_element_tables_are_not_mixed(spark, tmp_path):
 
 def test_parsers(spark):
     r = spark.range(1).select(
-        parsing.locus(F.lit("a:b:9..4#LTR/x")).alias("l"), parsing.locus(F.lit("none")).alias("n"), parsing.letters(F.lit(702)).alias("aaa"), parsing.letters(F.lit(701)).alias("zz"),
+        parsing.locus(F.lit("a:b:9..4#LTR/x")).alias("l"), parsing.locus(F.lit("none")).alias("n"), parsing.letters(F.lit(703)).alias("aaa"), parsing.letters(F.lit(702)).alias("zz"),
         parsing.domains(F.lit("RT|A@5-9;bad")).alias("strict"), parsing.domains(F.lit("RT|A@9-5;bad"), "lenient").alias("lenient"), sinks.attributes({"a": F.lit("x;y"), "b": F.lit("."), "c": F.lit(None)}).alias("attrs"),
     ).first()
     assert tuple(r.l) == ("a:b", 4, 9, "LTR/x") and r.n is None and (r.zz, r.aaa) == ("ZZ", "AAA") and r.strict == [] and len(r.lenient) == 1 and r.attrs == "a=x%3By"
@@ -247,3 +247,27 @@ def test_triage_takes_one_rescuer(spark):
     assert {r.ord: r.state for r in synteny.triage(df, 2.0, 0.5).collect()} == {0: "clean", 1: "rescued", 2: "dropped"}
 
 
+
+
+def each(spark, expression, values):
+    """The expression's value for each of the values, in turn."""
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    return [r.x for r in df.select("i", expression(F.col("v")).alias("x")).orderBy("i").collect()]
+
+
+def test_names_as_the_tools_read_them(spark):
+    assert each(spark, lambda v: parsing.letters(v.cast("long")), ["1", "26", "27", "18954", "9223372036854775807", "0"]) == ["A", "Z", "AA", "AAZZ", "CRPXNLSKVLJFHG", None]
+    assert [tuple(x) for x in each(spark, parsing.gene_token, ["Bdact016340", "Etef739571_2", "nothing"])] == [("Bdact", "016340", None), ("Etef", "739571", "2"), (None, None, None)]
+    assert each(spark, parsing.species, ["Bdact_chr2", "Etef_sca12", "Bdact12", "7"]) == ["Bdact", "Etef", "Bdact", None]
+    headers = {">Chr01a": ("1", "A"), ">chrX": ("X", None), ">Chr-02b": ("2", "B"), ">Chrom 3": ("3", None), ">Chr1AA": ("1", "AA"), ">CHROMOSOME_: 010": ("10", None), ">Chr00": ("0", None), ">scaffold_1": (None, None)}
+    assert [tuple(x) for x in each(spark, parsing.chromosome, list(headers))] == list(headers.values())
+    names = {"CHDCR": "CHDCR", "AP": "AP", "Reverse-transcriptase": "REVERSETRANSCRIPTASE", "aRNase H": "ARH", "arh": "ARH", "RNase_H": "RH", " integrase ": "INT", "PROTEASE": "PROT", "gag": "GAG"}
+    assert each(spark, parsing.protein, list(names)) == list(names.values())
+    paths = {"Class_II/Subclass_1/TIR/hAT": ("TIR", "hAT"), "Class_I/SINE": ("SINE", "unknown"), "NA_x": ("LTR", "Retrovirus"), "Class_I/LTR/Retrovirus": ("LTR", "Retrovirus"), "Class_I/LTR/Ty1_copia/Ale": ("LTR", "Copia"), "Class_I/LTR/Ty3_gypsy": ("LTR", "Gypsy"), "Class_II/x": ("unknown", "unknown"), "TIR": ("unknown", "unknown")}
+    assert [tuple(x) for x in each(spark, parsing.clade_path, list(paths))] == list(paths.values())
+    assert each(spark, parsing.sanitised, ["_a b_", "a//b", "", "__", "x.y-z"]) == ["a_b", "a_b", "NA", "NA", "x.y-z"]
+    assert each(spark, sequence.motif, ["tgaaca", "t", "", "tg"]) == ["TG…CA", "NA", "NA", "TG…TG"]
+    assert each(spark, lambda v: sequence.aligned_jc(v, F.lit("--NN")), ["ACGT"]) == [0.0]
+    lenient = each(spark, lambda v: parsing.domains(v, "lenient"), ["aRNase H|Ale@9-5;bad; RT|@1-2", "."])
+    assert [[tuple(d) for d in x] for x in lenient] == [[("ARH", "Ale", 5, 9), ("RT", "", 1, 2)], []]
+    assert [len(x) for x in each(spark, parsing.domains, ["RT|A@1-2; INT|B@3-4", "RT|A@1-2;;INT|B@3-4", ".", ""])] == [2, 0, 0, 0]
