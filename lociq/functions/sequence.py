@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,11 +21,59 @@ def canonical(kmer: Column) -> Column:
     return F.least(kmer, reverse_complement(kmer))
 
 
-def kmers(seq: Column, k: int) -> Column:
-    """array<string>: all k-mers of A, C, G, T."""
-    n = F.length(seq) - k + 1
-    every = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    return F.filter(every, lambda m: m.rlike("^[ACGT]+$"))
+def kmer_counts(df: DataFrame, key: str, seq: str, k: int, canonical: bool = False) -> DataFrame:
+    """key, kmer, n: how often each string of k letters A, C, G, T occurs in a key's sequences; k from 1 to 31.
+
+    Strings with another letter, or over two sequences, don't count. canonical: a string counts with its reverse
+    complement, under the lesser of both. Letters are numbers of two bits, counted in each batch before the shuffle.
+    """
+    if not 1 <= k <= 31:
+        raise ValueError("k must be from 1 to 31")
+    base = np.full(256, 4, np.uint8)
+    base[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+
+    def count(owner: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(letters) - k + 1
+        code, turned = np.zeros(max(n, 0), np.int64), np.zeros(max(n, 0), np.int64)
+        wrong = np.concatenate(([0], np.cumsum(letters > 3)))
+        for j in range(k if n > 0 else 0):
+            part = letters[j : j + n].astype(np.int64)
+            code = code << 2 | part & 3
+            if canonical:
+                turned |= (3 - part & 3) << 2 * j
+        good = wrong[k:] == wrong[: max(n, 0)] if n > 0 else np.zeros(0, bool)
+        code, owner = (np.minimum(code, turned) if canonical else code)[good], owner[: max(n, 0)][good]
+        order = np.lexsort((code, owner))
+        code, owner = code[order], owner[order]
+        new = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])))) if len(code) else np.zeros(0, np.int64)
+        return owner[new], code[new], np.diff(np.append(new, len(code)))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keys, held, size = batch.column(0), [], 0
+            texts = batch.column(1)
+            for i in range(batch.num_rows + 1):
+                if i < batch.num_rows:
+                    raw = (texts[i].as_py() or "").encode("ascii", "replace")
+                    held.append((i, raw))
+                    size += len(raw) + 1
+                if held and (size >= 1 << 22 or i == batch.num_rows):
+                    letters = base[np.frombuffer(b"\n".join(r for _, r in held) + b"\n", np.uint8)]
+                    # equal keys of a piece are counted together
+                    group = pd.factorize(pd.Series([keys[j].as_py() for j, _ in held]), use_na_sentinel=False)[0]
+                    first = {g: j for g, (j, _) in reversed(list(zip(group.tolist(), held, strict=True)))}
+                    owner, code, n = count(np.repeat(group, [len(r) + 1 for _, r in held]), letters)
+                    shifts = np.arange(2 * (k - 1), -1, -2)
+                    text = np.frombuffer(b"ACGT", np.uint8)[code[:, None] >> shifts & 3]
+                    spelled = pa.array(text.reshape(-1, k).copy().view(f"S{k}").ravel().astype(str) if len(code) else [], pa.string())
+                    at = pa.array(np.array([first[g] for g in owner.tolist()], np.int64))
+                    yield pa.RecordBatch.from_arrays([keys.take(at), spelled, pa.array(n, pa.int64())], names=[key, "kmer", "n"])
+                    held, size = [], 0
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, seq).mapInArrow(run, f"{key} {kind}, kmer string, n bigint").groupBy(key, "kmer").agg(F.sum("n").alias("n"))
 
 
 def acgt_bp(seq: Column) -> Column:
@@ -137,12 +186,21 @@ def run_signature(inner: str, ring: str, base: int, flank: int) -> str:
 
 def translate_codons(df: DataFrame, cds: str = "cds", out: str = "pep") -> DataFrame:
     """The protein of each coding sequence; X for codons with other letters; a rest of one or two bases is dropped."""
-    table = {a + b + c: AMINO[16 * i + 4 * j + k] for i, a in enumerate("TCAG") for j, b in enumerate("TCAG") for k, c in enumerate("TCAG")}
-    codes = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    seq = F.upper(F.col(cds))
-    count = F.floor(F.length(seq) / 3)
-    codons = F.when(count > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(count - 1, F.lit(0))), lambda i: F.substring(seq, (i * 3 + 1).cast("int"), F.lit(3)))).otherwise(F.array().cast("array<string>"))
-    return df.withColumn(out, F.array_join(F.transform(codons, lambda c: F.coalesce(codes[c], F.lit("X"))), ""))
+    place = np.full(256, 64, np.uint8)
+    place[np.frombuffer(b"TCAGtcag", np.uint8)] = [*range(4), *range(4)]
+    amino = np.frombuffer((AMINO + "X" * 192).encode(), np.uint8)
+
+    @F.pandas_udf("string")
+    def translate(seqs: pd.Series) -> pd.Series:
+        def one(s):
+            if s is None:
+                return None
+            at = place[np.frombuffer(s[: len(s) // 3 * 3].encode("ascii", "replace"), np.uint8).reshape(-1, 3)].astype(np.int64)
+            return amino[np.minimum(at[:, 0] * 16 + at[:, 1] * 4 + at[:, 2] + 64 * (at > 3).any(axis=1), 255)].tobytes().decode()
+
+        return seqs.map(one)
+
+    return df.withColumn(out, translate(cds))
 
 
 def tsd_search(df: DataFrame, left: str, right: str, low: int = 4, high: int = 6, jitter: int = 2, subs: int = 1) -> DataFrame:

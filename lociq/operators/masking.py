@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,13 +45,14 @@ def tri_state_mask(sequences: DataFrame, features: DataFrame, key: str = "seqid"
             if text is None:
                 out.append(None)
                 continue
-            state = bytearray(len(text))
-            for value, margin in ((1, keep), (2, 0)):
+            b = np.frombuffer(text.encode("ascii", "replace"), np.uint8)
+            state = np.full(len(b), ord(far_letter), np.uint8)
+            for margin, letters in ((keep, b), (0, np.full(len(b), ord(feature_letter), np.uint8))):
                 for r in rows if rows is not None else []:
-                    a, e = max(0, r["start0"] - margin), min(len(text), r["end0"] + margin)
-                    if a < e:
-                        state[a:e] = bytes([value]) * (e - a)
-            out.append("".join(c if c not in "ACGTacgt" or x == 1 else feature_letter if x == 2 else far_letter for c, x in zip(text, state, strict=True)))
+                    a, e = max(0, r["start0"] - margin), min(len(b), r["end0"] + margin)
+                    state[a:e] = letters[a:e]
+            base = np.isin(b, np.frombuffer(b"ACGTacgt", np.uint8))
+            out.append(np.where(base, state, b).tobytes().decode())
         return pd.Series(out)
 
     return _with_spans(sequences, features, key, []).withColumn(seq, mask(seq, "__spans")).drop("__spans")
@@ -115,10 +117,9 @@ def extracted(sequences: DataFrame, spans: DataFrame, key: str = "seqid", seq: s
 
 def chunked(sequences: DataFrame, size: int = 1 << 20, key: str = "seqid", seq: str = "seq") -> DataFrame:
     """key, chunk, offset0, seq: long sequences as rows that fit in memory."""
-    n = F.greatest(F.ceil(F.length(seq) / size), F.lit(1))
-    at = F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("chunk")
-    rows = sequences.select(key, seq, at)
-    return rows.select(key, "chunk", (F.col("chunk") * size).alias("offset0"), F.substring(F.col(seq), (F.col("chunk") * size + 1).cast("int"), F.lit(size)).alias(seq))
+    parts = F.regexp_extract_all(F.col(seq), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))  # one pass, whatever the length
+    rows = sequences.select(key, F.posexplode(F.when(F.length(seq) > 0, parts).otherwise(F.array(F.lit("")))).alias("chunk", seq))
+    return rows.select(key, F.col("chunk").cast("bigint").alias("chunk"), (F.col("chunk").cast("bigint") * size).alias("offset0"), seq)
 
 
 def extracted_from_chunks(chunks: DataFrame, spans: DataFrame, size: int = 1 << 20, key: str = "seqid", seq: str = "seq", ident: str = "id") -> DataFrame:

@@ -8,7 +8,7 @@ from ..functions import sequence as sq
 from ..functions import stats as st
 from ..operators import interval as iv
 from ..operators import relational as rl
-from .fixtures import view
+from .fixtures import pieces, view
 from .registry import query
 
 UNION = """{n} AS (SELECT id, sum(e - s) AS bp FROM (SELECT id, min(s) AS s, max(e) AS e FROM (SELECT *, sum(f) OVER (PARTITION BY id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (
@@ -71,12 +71,14 @@ def header_cap(spark, sf_dir):
 
 
 @query("a16_element_hits", """
-WITH s AS (SELECT DISTINCT substr(seq, 1, 6) AS kmer, doc_id % 2 AS sub FROM dna WHERE length(seq) >= 6 AND doc_id < 200), k AS (SELECT doc_id, substr(seq, CAST(i AS INTEGER), 6) AS kmer FROM (SELECT doc_id, seq, unnest(range(1, length(seq) - 4)) AS i FROM dna WHERE length(seq) >= 6))
+WITH k AS (SELECT doc_id, piece AS kmer FROM (""" + pieces(9) + """)),
+s AS (SELECT kmer, CAST(doc_id % 2 AS BIGINT) AS sub FROM k GROUP BY kmer, doc_id % 2 HAVING count(*) >= 20 QUALIFY count(*) OVER (PARTITION BY kmer) = 1)
 SELECT doc_id, sub, count(*) AS hits FROM k JOIN s USING (kmer) GROUP BY ALL""")
 def element_hits(spark, sf_dir):
-    d = view(spark, sf_dir, "dna").where("length(seq) >= 6")
-    s = d.where("doc_id < 200").select(F.substring("seq", 1, 6).alias("kmer"), (F.col("doc_id") % 2).alias("sub")).distinct()
-    return d.select("doc_id", F.explode(sq.kmers(F.col("seq"), 6)).alias("kmer")).join(s, "kmer").groupBy("doc_id", "sub").agg(F.count("*").alias("hits"))
+    """Markers of a subgenome are k-mers that are frequent in it and not in the other."""
+    d = view(spark, sf_dir, "dna").select("doc_id", "seq", (F.col("doc_id") % 2).alias("sub"))
+    frequent = sq.kmer_counts(d, "sub", "seq", 9).where("n >= 20").groupBy("kmer").agg(F.min("sub").alias("sub"), F.count("*").alias("subs")).where("subs = 1").drop("subs")
+    return sq.kmer_counts(d, "doc_id", "seq", 9).join(frequent, "kmer").groupBy("doc_id", "sub").agg(F.sum("n").alias("hits"))
 
 
 @query("a31_fraction_gate", "SELECT round(avg(CASE WHEN p_size > 40 THEN 1.0 ELSE 0.0 END), 9) AS fraction, avg(CASE WHEN p_size > 40 THEN 1.0 ELSE 0.0 END) <= 0.25 AS pass FROM part")
@@ -169,7 +171,8 @@ def representatives(spark, sf_dir):
 @query("x22_chromosome_clusters")
 def chromosome_clusters(spark, sf_dir):
     """g08 as well: labels of a small chromosome matrix with bootstrap support."""
-    k = view(spark, sf_dir, "dna").select((F.col("doc_id") % 10).alias("seqid"), F.explode(sq.kmers(F.col("seq"), 2)).alias("kmer")).groupBy("seqid").pivot("kmer", [a + b for a in "ACGT" for b in "ACGT"]).count().na.fill(0).orderBy("seqid")
+    k = view(spark, sf_dir, "dna").select((F.col("doc_id") % 10).alias("seqid"), "seq")
+    k = sq.kmer_counts(k, "seqid", "seq", 2).groupBy("seqid").pivot("kmer", [a + b for a in "ACGT" for b in "ACGT"]).agg(F.sum("n")).na.fill(0).orderBy("seqid")
     pdf = k.toPandas()  # ten chromosomes by sixteen k-mers
     m = pdf.drop(columns="seqid").to_numpy(float)
     m = m / np.maximum(m.sum(1, keepdims=True), 1)
@@ -236,17 +239,17 @@ def homology_list(spark, sf_dir):
     return rows.select(F.get("p", F.lit(0)).alias("ref"), F.get("p", F.col("i")).alias("query"), F.get("p", F.col("i") + 1).alias("strand"))
 
 
-@query("z24_colours_to_chromosomes", "SELECT unnest([o_custkey, -o_custkey]) AS chromosome, unnest(CASE WHEN o_orderstatus = 'F' THEN ['A', 'B'] ELSE ['B', 'A'] END) AS subgenome FROM orders WHERE o_orderkey % 100 = 0")
+@query("z24_colours_to_chromosomes", "SELECT unnest([o_custkey, -o_custkey]) AS chromosome, unnest(CASE WHEN o_orderstatus = 'F' THEN ['A', 'B'] ELSE ['B', 'A'] END) AS subgenome FROM orders")
 def colours_to_chromosomes(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 100 = 0")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     a = F.when(F.col("o_orderstatus") == "F", "A").otherwise("B")
     b = F.when(F.col("o_orderstatus") == "F", "B").otherwise("A")
     return o.select(F.inline(F.array(F.struct(F.col("o_custkey").alias("chromosome"), a.alias("subgenome")), F.struct((-F.col("o_custkey")).alias("chromosome"), b.alias("subgenome")))))
 
 
-@query("z28_na_tables", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'NA' ELSE printf('%.2f', o_totalprice) END AS value FROM orders WHERE o_orderkey % 10 = 0")
+@query("z28_na_tables", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'NA' ELSE printf('%.2f', o_totalprice) END AS value FROM orders")
 def na_tables(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 10 = 0")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return o.select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "NA").otherwise(F.format_string("%.2f", F.col("o_totalprice"))).alias("value"))
 
 

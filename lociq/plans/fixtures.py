@@ -31,12 +31,23 @@ SELECT l_orderkey AS okey, l_linenumber AS line, concat('A_chr', CAST(l_suppkey
     "member": """SELECT concat('fam', CAST(label AS STRING)) AS rep, vec_id AS member FROM embeddings""",
 }
 
-_SEQUENCE = "SELECT doc_id, translate(substr(regexp_replace(lower(text),'[^a-z]',''{g}),1,400),'abcdefghijklmnopqrstuvwxyz','ACGTACGTACGTACGTACGTACGTAC') AS seq FROM documents"
+_SEQUENCE = "SELECT doc_id, translate(regexp_replace(lower(text),'[^a-z]',''{g}),'abcdefghijklmnopqrstuvwxyz','ACGTACGTACGTACGTACGTACGTAC') AS seq FROM documents"
 DUCK = VIEWS | {"dna": _SEQUENCE.format(g=",'g'")}
 SPARK = VIEWS | {"dna": _SEQUENCE.format(g="")}
 TABLES = ["lineitem", "orders", "events", "embeddings", "documents", "customer", "part", "supplier", "nation", "region"]
 
 
+def pieces(length: int, step: int = 1, block: int = 999, source: str = "dna") -> str:
+    """SQL of (doc_id, i, piece): the strings of ``length`` letters that begin at 1, 1 + step, … of each sequence.
+
+    Long sequences are cut into blocks first, since the text functions count letters from a text's start.
+    """
+    b = block - block % step
+    blocks = f"SELECT doc_id, b, substr(seq, CAST(b * {b} + 1 AS INTEGER), {b + length - step}) AS s FROM (SELECT doc_id, seq, unnest(range((length(seq) + {b - 1}) // {b})) AS b FROM {source})"
+    at = f"SELECT doc_id, b, s, unnest(range(1, length(s) - {length} + 2, {step})) AS i FROM ({blocks}) WHERE length(s) >= {length}"
+    return f"SELECT doc_id, b * {b} + i AS i, substr(s, CAST(i AS INTEGER), {length}) AS piece FROM ({at})"
+
+
 def with_views(sql: str) -> str:
     """The SQL with the views it names as common table expressions."""
     used = [v for v in DUCK if re.search(rf"\b{v}\b", sql)]

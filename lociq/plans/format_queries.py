@@ -181,13 +181,13 @@ def best_links(spark, sf_dir):
 
 
 def _blocks(spark, sf_dir):
-    u = _u(spark, sf_dir).where("id % 5 = 0")
+    u = _u(spark, sf_dir)
     d = F.expr("array(named_struct('gene', 'RT', 'clade', family, 'start', start0 + 50, 'end', start0 + 60), named_struct('gene', 'RT', 'clade', '.', 'start', start0 + 70, 'end', start0 + 90))")
     return u.select(F.concat(F.lit("e"), F.lpad("id", 9, "0")).alias("block"), "seqid", (F.col("start0") + 1).alias("start1"), F.col("end0").alias("end1"), (F.col("start0") + 20).alias("l_end"), (F.col("end0") - 20).alias("r_start"), "strand", d.alias("domains"))
 
 
 @query("k02_gff3_blocks", """
-WITH u AS (SELECT *, 'e' || lpad(CAST(id AS VARCHAR), 9, '0') AS b FROM uivl WHERE id % 5 = 0),
+WITH u AS (SELECT *, 'e' || lpad(CAST(id AS VARCHAR), 9, '0') AS b FROM uivl),
 p AS (SELECT b, seqid, strand, 0 AS part, start0 + 1 AS s, end0 AS e, 'repeat_region' AS t, 'ID=' || b AS a, start0 FROM u
  UNION ALL SELECT b, seqid, strand, 1, start0 + 1, start0 + 20, 'long_terminal_repeat', 'ID=' || b || '_5;Parent=' || b, start0 FROM u
  UNION ALL SELECT b, seqid, strand, 2, end0 - 20, end0, 'long_terminal_repeat', 'ID=' || b || '_3;Parent=' || b, start0 FROM u
@@ -214,9 +214,9 @@ def solo_names(spark, sf_dir):
     return sk.solo_names(_u(spark, sf_dir).select("seqid", "start0", "end0"))
 
 
-@query("k07_bed6", "SELECT id, concat_ws(chr(9), seqid, start0, end0, family || '|' || id, CAST(least(greatest(weight / 300, 0), 1000) AS BIGINT), strand) AS line FROM uivl WHERE weight % 300 < 149")
+@query("k07_bed6", "SELECT id, concat_ws(chr(9), seqid, start0, end0, family || '|' || id, CAST(least(greatest(round_even(weight / 300, 0), 0), 1000) AS BIGINT), strand) AS line FROM uivl")
 def bed6(spark, sf_dir):
-    u = _u(spark, sf_dir).where("weight % 300 < 149")
+    u = _u(spark, sf_dir)
     return sk.bed6_lines(u, F.concat("family", F.lit("|"), "id"), F.col("weight") / 300).select("id", "line")
 
 
@@ -241,24 +241,26 @@ def _masked_input(spark, sf_dir):
     return d, spans.select("seqid", F.col("x.s").alias("start0"), (F.col("x.s") + F.col("x.n")).alias("end0"), F.col("x.d").alias("depth"))
 
 
-MASK = "SELECT doc_id AS seqid, string_agg(CASE WHEN {hit} THEN {letter} ELSE substr(seq, CAST(i + 1 AS INTEGER), 1) END, '' ORDER BY i) AS seq FROM (SELECT doc_id, seq, unnest(range(length(seq))) AS i FROM dna WHERE length(seq) > 0) GROUP BY doc_id"
+#: The spans end before letter 200, so what is behind it needs no look at single letters.
+MASK = "SELECT doc_id AS seqid, string_agg(CASE WHEN {hit} THEN {letter} ELSE substr(head, CAST(i + 1 AS INTEGER), 1) END, '' ORDER BY i) || any_value(rest) AS seq FROM (SELECT doc_id, substr(seq, 1, 200) AS head, {rest} AS rest, unnest(range(least(length(seq), 200))) AS i FROM dna WHERE length(seq) > 0) GROUP BY doc_id"
+REST = "substr(seq, 201)"
 FIRST, SECOND = "(i >= doc_id % 50 AND i < doc_id % 50 + 30)", "(i >= doc_id % 70 + 60 AND i < doc_id % 70 + 85)"
 
 
-@query("m01_hard_mask", MASK.format(hit=f"{FIRST} OR {SECOND}", letter="'N'"))
+@query("m01_hard_mask", MASK.format(hit=f"{FIRST} OR {SECOND}", letter="'N'", rest=REST))
 def hard_mask(spark, sf_dir):
     """m04 as well."""
     d, spans = _masked_input(spark, sf_dir)
     return mk.hard_mask(d.where("length(seq) > 0"), spans)
 
 
-@query("m02_tri_state", MASK.format(hit=f"NOT ((i >= doc_id % 50 - 20 AND i < doc_id % 50 + 50) OR (i >= doc_id % 70 + 40 AND i < doc_id % 70 + 105)) OR {FIRST} OR {SECOND}", letter=f"CASE WHEN {FIRST} OR {SECOND} THEN 'N' ELSE 'V' END"))
+@query("m02_tri_state", MASK.format(hit=f"NOT ((i >= doc_id % 50 - 20 AND i < doc_id % 50 + 50) OR (i >= doc_id % 70 + 40 AND i < doc_id % 70 + 105)) OR {FIRST} OR {SECOND}", letter=f"CASE WHEN {FIRST} OR {SECOND} THEN 'N' ELSE 'V' END", rest="repeat('V', greatest(length(seq) - 200, 0))"))
 def tri_state(spark, sf_dir):
     d, spans = _masked_input(spark, sf_dir)
     return mk.tri_state_mask(d.where("length(seq) > 0"), spans)
 
 
-@query("m03_depth_paint", MASK.format(hit=f"{FIRST} OR {SECOND}", letter=f"CASE WHEN {SECOND} THEN 'R' ELSE 'N' END"))
+@query("m03_depth_paint", MASK.format(hit=f"{FIRST} OR {SECOND}", letter=f"CASE WHEN {SECOND} THEN 'R' ELSE 'N' END", rest=REST))
 def depth_paint(spark, sf_dir):
     d, spans = _masked_input(spark, sf_dir)
     return mk.depth_paint(d.where("length(seq) > 0"), spans)
@@ -271,7 +273,7 @@ def turned(spark, sf_dir):
     return view(spark, sf_dir, "dna").select("doc_id", F.when(odd, F.concat(F.lit("r"), "doc_id")).otherwise("ref").alias("name"), F.when(odd, sq.reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
 
 
-@query("m07_excised", "SELECT doc_id AS seqid, coalesce(string_agg(CASE WHEN " + FIRST + " OR " + SECOND + " THEN '' ELSE substr(seq, CAST(i + 1 AS INTEGER), 1) END, '' ORDER BY i), '') AS seq FROM (SELECT doc_id, seq, unnest(range(length(seq))) AS i FROM dna WHERE length(seq) > 0) GROUP BY doc_id")
+@query("m07_excised", MASK.format(hit=f"{FIRST} OR {SECOND}", letter="''", rest=REST))
 def excised(spark, sf_dir):
     d, spans = _masked_input(spark, sf_dir)
     return mk.excised(d.where("length(seq) > 0"), spans)
@@ -332,9 +334,9 @@ def mask_sources(spark, sf_dir):
     return iv.merge(both, ["seqid"], gap=1)
 
 
-@query("z12_mask_letters", "SELECT doc_id, length(t) - length(replace(t, 'n', '')) AS lower_n, length(t) - length(replace(t, 'N', '')) AS upper_n FROM (SELECT doc_id, substr(text, 1, 300) AS t FROM documents)")
+@query("z12_mask_letters", "SELECT doc_id, length(t) - length(replace(t, 'n', '')) AS lower_n, length(t) - length(replace(t, 'N', '')) AS upper_n FROM (SELECT doc_id, text AS t FROM documents)")
 def mask_letters(spark, sf_dir):
-    t = F.substring("text", 1, 300)
+    t = F.col("text")
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.length(F.regexp_replace(t, "[^n]", "")).alias("lower_n").cast("bigint"), F.length(F.regexp_replace(t, "[^N]", "")).alias("upper_n").cast("bigint"))
 
 

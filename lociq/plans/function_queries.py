@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing as ps
 from ..functions import sequence as sq
-from .fixtures import view
+from .fixtures import pieces, view
 from .registry import query
 
 NAMES = "(SELECT id, concat(seqid, ':', CAST(end0 AS VARCHAR), '-', CAST(start0 AS VARCHAR), '#LTR/', CASE WHEN id % 3 = 0 THEN 'Copia/Ale' WHEN id % 3 = 1 THEN 'Gypsy' ELSE '' END) AS name FROM uivl)"
@@ -193,13 +193,18 @@ def reverse_complement(spark, sf_dir):
 
 
 @query("a13_kmer_counts", """
-WITH k AS (SELECT doc_id % 10 AS seqid, substr(seq, CAST(i AS INTEGER), 7) AS kmer FROM (SELECT doc_id, seq, unnest(range(1, length(seq) - 5)) AS i FROM dna WHERE length(seq) >= 7)),
+WITH k AS (SELECT doc_id % 10 AS seqid, piece AS kmer FROM (""" + pieces(7) + """)),
 c AS (SELECT seqid, least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) AS kmer FROM k)
 SELECT seqid, kmer, count(*) AS n FROM c GROUP BY ALL HAVING count(*) >= 3""")
 def kmer_counts(spark, sf_dir):
-    """x02 as well: canonical k-mers."""
-    k = view(spark, sf_dir, "dna").select((F.col("doc_id") % 10).alias("seqid"), F.explode(sq.kmers(F.col("seq"), 7)).alias("kmer"))
-    return k.groupBy("seqid", sq.canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("n")).where("n >= 3")
+    d = view(spark, sf_dir, "dna").select((F.col("doc_id") % 10).alias("seqid"), "seq")
+    return sq.kmer_counts(d, "seqid", "seq", 7, canonical=True).where("n >= 3")
+
+
+@query("x02_canonical", "SELECT doc_id, least(k, reverse(translate(k, 'ACGT', 'TGCA'))) AS kmer FROM (SELECT doc_id, substr(seq, 1, 21) AS k FROM dna)")
+def canonical(spark, sf_dir):
+    """The string or its reverse complement, of a sequence's first 21-mer."""
+    return view(spark, sf_dir, "dna").select("doc_id", sq.canonical(F.substring("seq", 1, 21)).alias("kmer"))
 
 
 @query("a14_kmer_totals", "SELECT doc_id % 10 AS seqid, CAST(sum(greatest(length(seq) - 6, 0)) AS BIGINT) AS total FROM dna GROUP BY 1")
@@ -229,13 +234,24 @@ def gap_identity(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.round(sq.gap_compressed_identity(c), 9).alias("identity"))
 
 
-@query("x11_tsd", None)
+FLANKS = "f AS (SELECT doc_id, substr(seq, 1, 14) AS l, substr(seq, 40, 14) AS r FROM dna WHERE length(seq) >= 60)"
+
+
+@query("x11_tsd", f"""
+WITH {FLANKS}, s AS (SELECT doc_id, r, k, i, substr(l, CAST(i AS INTEGER), CAST(k AS INTEGER)) AS s FROM (SELECT *, unnest(range(1, 16 - k)) AS i FROM (SELECT *, unnest(range(5, 15)) AS k FROM f))),
+b AS (SELECT doc_id, arg_min(s, (-k, i)) AS tsd FROM s WHERE contains(r, s) AND len(list_distinct(string_split(s, ''))) >= 2 GROUP BY doc_id)
+SELECT doc_id, tsd FROM f LEFT JOIN b USING (doc_id)""")
 def tsd(spark, sf_dir):
     d = view(spark, sf_dir, "dna").where("length(seq) >= 60")
     return d.select("doc_id", sq.shared_substring(F.substring("seq", 1, 14), F.substring("seq", 40, 14)).alias("tsd"))
 
 
-@query("x12_tsd_jitter", None)
+@query("x12_tsd_jitter", types={"tsd_length": "INTEGER", "tsd_subs": "INTEGER", "tsd_jitter": "INTEGER"}, sql=f"""
+WITH {FLANKS}, g AS (SELECT * FROM f, range(4, 7) n(n), range(0, 3) i(i), range(0, 3) j(j)),
+p AS (SELECT *, substr(l, CAST(15 - i - n AS INTEGER), CAST(n AS INTEGER)) AS p, substr(r, CAST(j + 1 AS INTEGER), CAST(n AS INTEGER)) AS q FROM g),
+d AS (SELECT *, hamming(p, q) AS d FROM p WHERE len(list_distinct(string_split(p, ''))) >= 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, d, i + j, p DESC) AS k FROM d WHERE d <= 1)
+SELECT f.doc_id, n AS tsd_length, d AS tsd_subs, i + j AS tsd_jitter, p AS tsd FROM f LEFT JOIN b ON f.doc_id = b.doc_id AND k = 1""")
 def tsd_jitter(spark, sf_dir):
     d = view(spark, sf_dir, "dna").where("length(seq) >= 60").select("doc_id", F.substring("seq", 1, 14).alias("l"), F.substring("seq", 40, 14).alias("r"))
     return sq.tsd_search(d, "l", "r").drop("l", "r")
@@ -251,21 +267,24 @@ def hamming(spark, sf_dir):
     return view(spark, sf_dir, "dna").where("length(seq) >= 60").select("doc_id", sq.hamming(F.substring("seq", 1, 30), F.substring("seq", 31, 30)).alias("d"))
 
 
-@query("x17_translate", None)
+PLACES = " + ".join(f"{w} * (strpos('TCAG', substr(piece, {j}, 1)) - 1)" for j, w in ((1, 16), (2, 4), (3, 1)))
+
+
+@query("x17_translate", f"SELECT doc_id, coalesce(pep, '') AS pep FROM dna LEFT JOIN (SELECT doc_id, string_agg(substr('{sq.AMINO}', CAST({PLACES} + 1 AS INTEGER), 1), '' ORDER BY i) AS pep FROM ({pieces(3, 3)}) GROUP BY doc_id) USING (doc_id)")
 def translate(spark, sf_dir):
     return sq.translate_codons(view(spark, sf_dir, "dna"), "seq").select("doc_id", "pep")
 
 
-@query("x18_clean_lifted", "SELECT doc_id, replace(regexp_replace(regexp_replace(substr(text, 1, 200) || '~12~-aB', '~[0-9]+~', '', 'g'), '[a-z]', '', 'g'), '-', '') AS t FROM documents")
+@query("x18_clean_lifted", "SELECT doc_id, replace(regexp_replace(regexp_replace(text || '~12~-aB', '~[0-9]+~', '', 'g'), '[a-z]', '', 'g'), '-', '') AS t FROM documents")
 def clean_lifted(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select("doc_id", sq.clean_lifted(F.concat(F.substring("text", 1, 200), F.lit("~12~-aB"))).alias("t"))
+    return d.select("doc_id", sq.clean_lifted(F.concat("text", F.lit("~12~-aB"))).alias("t"))
 
 
-@query("x19_masked_fraction", types={"bp": "INTEGER"}, sql="SELECT doc_id, length(regexp_replace(substr(text, 1, 500), '[^ACGTacgt]', '', 'g')) AS bp, round(1 - length(regexp_replace(substr(text, 1, 500), '[^ACGTacgt]', '', 'g')) / length(substr(text, 1, 500)), 9) AS masked FROM documents WHERE length(text) > 0")
+@query("x19_masked_fraction", types={"bp": "INTEGER"}, sql="SELECT doc_id, length(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS bp, round(1 - length(regexp_replace(text, '[^ACGTacgt]', '', 'g')) / length(text), 9) AS masked FROM documents WHERE length(text) > 0")
 def masked_fraction(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 0").withColumn("t", F.substring("text", 1, 500))
-    return d.select("doc_id", sq.acgt_bp(F.col("t")).alias("bp"), F.round(sq.masked_fraction(F.col("t")), 9).alias("masked"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 0")
+    return d.select("doc_id", sq.acgt_bp(F.col("text")).alias("bp"), F.round(sq.masked_fraction(F.col("text")), 9).alias("masked"))
 
 
 @query("x20_age", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_discount / 6e-8, 3) AS age FROM lineitem")
@@ -273,9 +292,9 @@ def age(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", F.round(sq.age(F.col("l_discount")), 3).alias("age"))
 
 
-@query("m05_strip_non_acgt", "SELECT doc_id, regexp_replace(substr(text, 1, 300), '[^ACGTacgt]', '', 'g') AS seq FROM documents")
+@query("m05_strip_non_acgt", "SELECT doc_id, regexp_replace(text, '[^ACGTacgt]', '', 'g') AS seq FROM documents")
 def strip(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", sq.strip_non_acgt(F.substring("text", 1, 300)).alias("seq"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", sq.strip_non_acgt(F.col("text")).alias("seq"))
 
 
 # predicates

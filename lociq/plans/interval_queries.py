@@ -66,12 +66,13 @@ def flanks(spark, sf_dir):
     return iv.flanks(f.where("name = 'purchase'").drop("name"), f.where("name in ('click', 'signup')").drop("name"), ["seqid"], 40, 200_000)
 
 
-PAIRS = """WITH a AS (SELECT * FROM uivl WHERE weight % 4 = 0), b AS (SELECT * FROM uivl WHERE weight % 4 = 1) """
+PAIRS = """WITH a AS (SELECT * FROM uivl WHERE weight % 2 = 0), b AS (SELECT * FROM uivl WHERE weight % 2 = 1) """
 
 
 def _pairs(spark, sf_dir):
+    """Two sides that share no interval and leave none out."""
     u = view(spark, sf_dir, "uivl")
-    return u.where("weight % 4 = 0"), u.where("weight % 4 = 1")
+    return u.where("weight % 2 = 0"), u.where("weight % 2 = 1")
 
 
 @query("i07_overlap_of_shorter", PAIRS + """
@@ -175,7 +176,7 @@ def abutment_anti(spark, sf_dir):
     return iv.overlap_join(a, b, ["seqid"], "left_anti", touches & ~inside, gap=20).select("id", "start0", "end0")
 
 
-@query("j14_prepurge", PAIRS + """, p AS (SELECT a.id, bool_or(b.start0 <= a.start0 AND a.end0 <= b.end0 AND a.end0 - a.start0 < b.end0 - b.start0 AND b.weight % 2 = 0) AS protect,
+@query("j14_prepurge", PAIRS + """, p AS (SELECT a.id, bool_or(b.start0 <= a.start0 AND a.end0 <= b.end0 AND a.end0 - a.start0 < b.end0 - b.start0 AND b.weight % 3 = 0) AS protect,
 bool_or((least(a.end0, b.end0) - greatest(a.start0, b.start0) + 1) / least(a.end0 - a.start0 + 1, b.end0 - b.start0 + 1) >= 0.8) AS exclude
 FROM a JOIN b ON a.seqid = b.seqid AND a.start0 < b.end0 AND b.start0 < a.end0 GROUP BY a.id)
 SELECT a.id FROM a LEFT JOIN p USING (id) WHERE coalesce(protect, false) OR NOT coalesce(exclude, false)""")
@@ -183,7 +184,7 @@ def prepurge(spark, sf_dir):
     a, b = _pairs(spark, sf_dir)
     inside = iv.contains(("b_start0", "b_end0"), ("start0", "end0")) & (F.col("end0") - F.col("start0") < F.col("b_end0") - F.col("b_start0"))
     most = iv.overlap_of_shorter(("start0", "end0"), ("b_start0", "b_end0")) >= 0.8
-    found = iv.overlap_join(a, b, ["seqid"], on=iv.overlaps()).groupBy("id").agg(F.bool_or(inside & (F.col("b_weight") % 2 == 0)).alias("protect"), F.bool_or(most).alias("exclude"))
+    found = iv.overlap_join(a, b, ["seqid"], on=iv.overlaps()).groupBy("id").agg(F.bool_or(inside & (F.col("b_weight") % 3 == 0)).alias("protect"), F.bool_or(most).alias("exclude"))
     return a.join(found, "id", "left").where("coalesce(protect, false) or not coalesce(exclude, false)").select("id")
 
 

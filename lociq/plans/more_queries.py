@@ -128,9 +128,9 @@ def propagated_paint(spark, sf_dir):
     return paint
 
 
-@query("z14_repeat_lengths", "SELECT 'c' || o_custkey AS seqid, CAST(floor(o_totalprice) AS BIGINT) AS length FROM orders WHERE o_orderkey % 3 = 0")
+@query("z14_repeat_lengths", "SELECT 'c' || o_custkey AS seqid, CAST(floor(o_totalprice) AS BIGINT) AS length FROM orders")
 def repeat_lengths(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").withColumns({"a": F.concat(F.lit("c"), "o_custkey"), "b": F.floor("o_totalprice")})
+    o = table(spark, sf_dir, "orders").withColumns({"a": F.concat(F.lit("c"), "o_custkey"), "b": F.floor("o_totalprice")})
     return fm.fai(lines(o, "o_orderkey", "a", "b")).select("seqid", "length")
 
 

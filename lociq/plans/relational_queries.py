@@ -34,12 +34,18 @@ def padded_join(spark, sf_dir):
     return rl.padded_join(o, table(spark, sf_dir, "customer").where("c_custkey % 3 = 0"), "c_custkey", ["c_mktsegment"]).drop("c_custkey")
 
 
-ANCHORS = "a AS (SELECT l_orderkey % 50 AS cluster, l_partkey AS gene_a, l_suppkey AS gene_b, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord FROM lineitem WHERE l_orderkey < 2000)"
+#: An order that is unique and costs no pass over all rows: the line, then the place among its rows.
+ORDER = "({key} * 10 + {line}) * 100 + row_number() OVER (PARTITION BY {key}, {line} ORDER BY {by})"
+ANCHORS = f"a AS (SELECT l_orderkey % 50 AS cluster, l_partkey AS gene_a, l_suppkey AS gene_b, {ORDER.format(key='l_orderkey', line='l_linenumber', by='l_partkey, l_suppkey, l_extendedprice')} AS ord FROM lineitem)"
+
+
+def _order(key, line, *by):
+    return ((F.col(key) * 10 + F.col(line)) * 100 + F.row_number().over(W.partitionBy(key, line).orderBy(*by))).cast("bigint")
 
 
 def _anchors(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000")
-    order = F.row_number().over(W.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    li = table(spark, sf_dir, "lineitem")
+    order = _order("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return li.select((F.col("l_orderkey") % 50).alias("cluster"), F.col("l_partkey").alias("gene_a"), F.col("l_suppkey").alias("gene_b"), order.alias("ord"))
 
 
@@ -49,7 +55,7 @@ def _genes(spark, sf_dir):
     return a, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("gene"), *at("s_suppkey", "B"))
 
 
-@query("j03_gene_pair_spans", types={"ord": "INTEGER"}, sql=f"""
+@query("j03_gene_pair_spans", sql=f"""
 WITH {ANCHORS}, p AS (SELECT *, lead(gene_a) OVER w AS na, lead(gene_b) OVER w AS nb FROM a WINDOW w AS (PARTITION BY cluster ORDER BY ord)),
 g AS (SELECT p_partkey AS gene FROM part WHERE p_partkey % 10 <> 0)
 SELECT cluster, ord, 'A_chr' || (gene_a % 5) AS seq1, least(gene_a, na) * 1000 AS s1, greatest(gene_a, na) * 1000 + 700 AS e1,
@@ -84,16 +90,15 @@ def two_key_fallback(spark, sf_dir):
     return rl.two_key_fallback(o.select("name", "place"), by_name, o.select("place", F.col("o_orderstatus").alias("family")), "name", ["place"], "family").drop("place")
 
 
-BLOCKS = "b AS (SELECT seq1, s1, e1, seq2, s2, e2, strand, row_number() OVER (ORDER BY okey, line, s1, s2, e1, e2, seq1, seq2, strand) AS ord FROM block WHERE okey < 12000)"
+BLOCKS = f"b AS (SELECT seq1, s1, e1, seq2, s2, e2, strand, {ORDER.format(key='okey', line='line', by='s1, s2, e1, e2, seq1, seq2, strand')} AS ord FROM block)"
 
 
 def _blocks(spark, sf_dir):
-    b = view(spark, sf_dir, "block").where("okey < 12000")
-    order = F.row_number().over(W.orderBy("okey", "line", "s1", "s2", "e1", "e2", "seq1", "seq2", "strand"))
-    return b.withColumn("ord", order).select(*sy._COLUMNS)
+    b = view(spark, sf_dir, "block")
+    return b.withColumn("ord", _order("okey", "line", "s1", "s2", "e1", "e2", "seq1", "seq2", "strand")).select(*sy._COLUMNS)
 
 
-@query("j07_contained_blocks", types={"ord": "INTEGER"}, sql=f"WITH {BLOCKS} SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.seq1 = b.seq1 AND o.seq2 = b.seq2 AND o.strand = b.strand AND o.s1 <= b.s1 AND b.e1 <= o.e1 AND o.s2 <= b.s2 AND b.e2 <= o.e2 AND o.ord <> b.ord)")
+@query("j07_contained_blocks", sql=f"WITH {BLOCKS} SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.seq1 = b.seq1 AND o.seq2 = b.seq2 AND o.strand = b.strand AND o.s1 <= b.s1 AND b.e1 <= o.e1 AND o.s2 <= b.s2 AND b.e2 <= o.e2 AND o.ord <> b.ord)")
 def contained_blocks(spark, sf_dir):
     return sy.drop_contained(_blocks(spark, sf_dir))
 
@@ -108,7 +113,7 @@ def absorb_short(spark, sf_dir):
     return sy.absorb_short(_blocks(spark, sf_dir), 1500)
 
 
-@query("i16_stitch", types={"ord": "INTEGER"}, sql=f"""
+@query("i16_stitch", sql=f"""
 WITH {BLOCKS}, r AS (SELECT *, row_number() OVER (PARTITION BY seq1, seq2, strand ORDER BY s2, s1, ord) AS k2 FROM b),
 g AS (SELECT seq1, seq2, strand, e1 AS s1, lead(s1) OVER w AS e1, e2 AS s2, lead(s2) OVER w AS e2, lead(k2) OVER w - k2 AS k, ord FROM r WINDOW w AS (PARTITION BY seq1, seq2, strand ORDER BY s1, s2, ord)),
 f AS (SELECT * FROM g WHERE e1 > s1 AND e2 > s2 AND abs(k) = 1 AND NOT EXISTS (SELECT 1 FROM b o WHERE o.seq1 = g.seq1 AND o.seq2 = g.seq2 AND o.strand <> g.strand AND o.s1 <= g.e1 AND o.e1 >= g.s1 AND o.s2 <= g.e2 AND o.e2 >= g.s2))
@@ -153,7 +158,7 @@ def best_reference(spark, sf_dir):
 @query("i12_triage")
 def triage(spark, sf_dir):
     b = _blocks(spark, sf_dir).withColumns({"ga": F.substring("seq1", 1, 1), "gb": F.substring("seq2", 1, 1)})
-    return sy.triage(b.where("ord <= 400"), 1.11, 0.5)
+    return sy.triage(b, 1.11, 0.5)
 
 
 @query("i11_paint")
@@ -170,10 +175,10 @@ def genes_in_block(spark, sf_dir):
     return near.join(near.withColumnRenamed("id", "other"), ["seqid", "s", "e"]).where("id < other").select("id", "other").distinct()
 
 
-@query("j21_sequence_pairs", types={"cds": "INTEGER", "pep": "INTEGER"}, sql="SELECT a.doc_id, length(a.seq) AS cds, length(b.text) AS pep FROM dna a JOIN documents b USING (doc_id) WHERE doc_id % 2 = 0")
+@query("j21_sequence_pairs", types={"cds": "INTEGER", "pep": "INTEGER"}, sql="SELECT a.doc_id, length(a.seq) AS cds, length(b.text) AS pep FROM dna a JOIN documents b USING (doc_id)")
 def sequence_pairs(spark, sf_dir):
     """j22 and z40 as well: sequences by id."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", F.length("text").alias("pep"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("pep"))
     return view(spark, sf_dir, "dna").select("doc_id", F.length("seq").alias("cds")).join(d, "doc_id")
 
 
@@ -209,13 +214,14 @@ def nest_edges_reversed(spark, sf_dir):
     return e.select(F.col("a").alias("key"), F.col("b").alias("partner"), F.lit("nest-outer").alias("role")).union(e.select("b", "a", F.lit("nest-inner")))
 
 
-CLIQUE = "p AS (SELECT DISTINCT l_suppkey % 30 AS a, l_partkey % 30 AS b, l_orderkey % 30 AS c FROM lineitem WHERE l_orderkey < 200)"
+CLIQUE = "p AS (SELECT DISTINCT l_orderkey % 5000 AS a, (l_orderkey * 7 + l_linenumber % 3) % 5000 AS b, (l_orderkey * 11 + l_linenumber % 2) % 5000 AS c FROM lineitem), ab AS (SELECT DISTINCT a, b FROM p), ac AS (SELECT DISTINCT a, c FROM p), bc AS (SELECT DISTINCT b, c FROM p)"
 
 
-@query("g05_cliques", f"""WITH {CLIQUE} SELECT DISTINCT x.a AS A, x.b AS B, y.c AS C FROM p x JOIN p y ON x.a = y.a JOIN p z ON z.b = x.b AND z.c = y.c""")
+@query("g05_cliques", f"""WITH {CLIQUE} SELECT a AS A, b AS B, c AS C FROM ab JOIN ac USING (a) JOIN bc USING (b, c)""")
 def cliques(spark, sf_dir):
-    """j28 as well. Pairs of three species; a gene's number is its id within the species."""
-    p = table(spark, sf_dir, "lineitem").where("l_orderkey < 200").select((F.col("l_suppkey") % 30).alias("A"), (F.col("l_partkey") % 30).alias("B"), (F.col("l_orderkey") % 30).alias("C")).distinct()
+    """Pairs of three species; a gene's number is its id within the species."""
+    o, n = F.col("l_orderkey"), F.col("l_linenumber")
+    p = table(spark, sf_dir, "lineitem").select((o % 5000).alias("A"), ((o * 7 + n % 3) % 5000).alias("B"), ((o * 11 + n % 2) % 5000).alias("C")).distinct()
     e = None
     for s, t in (("A", "B"), ("A", "C"), ("B", "C")):
         one = p.select(F.lit(s).alias("s1"), F.col(s).alias("g1"), F.lit(t).alias("s2"), F.col(t).alias("g2"))
@@ -427,15 +433,16 @@ def multi_maps(spark, sf_dir):
 
 
 @query("a33_supermatrix", """
-WITH t AS (SELECT n_nationkey AS taxon FROM nation), g AS (SELECT DISTINCT c_mktsegment AS gene FROM customer), c AS (SELECT c_nationkey AS taxon, c_mktsegment AS gene, count(*) AS n FROM customer WHERE c_custkey % 40 = 0 GROUP BY ALL)
-SELECT taxon, string_agg(coalesce(lpad(CAST(n AS VARCHAR), 3, '0'), '---'), '' ORDER BY gene) AS seq FROM t CROSS JOIN g LEFT JOIN c USING (taxon, gene) GROUP BY taxon""")
+WITH t AS (SELECT n_nationkey AS taxon FROM nation), g AS (SELECT DISTINCT c_mktsegment AS gene FROM customer), c AS (SELECT c_nationkey AS taxon, c_mktsegment AS gene, count(*) AS n FROM customer WHERE c_nationkey % 5 <> length(c_mktsegment) % 5 GROUP BY ALL)
+SELECT taxon, string_agg(coalesce(lpad(CAST(n AS VARCHAR), 6, '0'), '------'), '' ORDER BY gene) AS seq FROM t CROSS JOIN g LEFT JOIN c USING (taxon, gene) GROUP BY taxon""")
 def supermatrix(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     genes = c.select("c_mktsegment").distinct().agg(F.array_sort(F.collect_set("c_mktsegment")).alias("genes"))
-    have = c.where("c_custkey % 40 = 0").groupBy(F.col("c_nationkey").alias("taxon"), "c_mktsegment").agg(F.lpad(F.count("*").cast("string"), 3, "0").alias("s"))
+    missing = F.col("c_nationkey") % 5 == F.length("c_mktsegment") % 5  # a taxon has no copy of such a gene: gaps in its row
+    have = c.where(~missing).groupBy(F.col("c_nationkey").alias("taxon"), "c_mktsegment").agg(F.lpad(F.count("*").cast("string"), 6, "0").alias("s"))
     have = have.groupBy("taxon").agg(F.map_from_entries(F.collect_list(F.struct("c_mktsegment", "s"))).alias("m"))
     rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("taxon")).join(have, "taxon", "left").join(F.broadcast(genes))
-    return rows.select("taxon", F.array_join(F.transform("genes", lambda g: F.coalesce(F.col("m")[g], F.lit("---"))), "").alias("seq"))
+    return rows.select("taxon", F.array_join(F.transform("genes", lambda g: F.coalesce(F.col("m")[g], F.lit("------"))), "").alias("seq"))
 
 
 @query("a35_change_point", """
@@ -515,12 +522,14 @@ def pooled(spark, sf_dir):
 
 
 @query("g01_components", """
-WITH RECURSIVE e AS (SELECT o_custkey * 2 AS a, (o_orderkey % 700) * 2 + 1 AS b FROM orders WHERE o_orderkey % 9 = 0), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_orderkey + CASE o_custkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS b FROM orders), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS node, a AS root FROM both_ UNION SELECT both_.b, r.root FROM r JOIN both_ ON both_.a = r.node WHERE r.root < both_.b)
 SELECT node, min(root) AS root FROM r GROUP BY node""")
 def graph_components(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 9 = 0")
-    return gr.components(o.select((F.col("o_custkey") * 2).alias("a"), (F.col("o_orderkey") % 700 * 2 + 1).alias("b"))).distinct()
+    """Every order is an edge to itself, to the next one or to the next but one."""
+    c = F.col("o_custkey") % 6
+    e = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + F.when(c == 0, 0).when(c == 1, 2).otherwise(1)).alias("b"))
+    return gr.components(e, e.select(F.col("a").alias("node")).union(e.select("b")).distinct())
 
 
 NEST = "n AS (SELECT a.id AS outer_id, b.id AS inner_id FROM uivl a JOIN uivl b ON a.seqid = b.seqid AND a.start0 <= b.start0 AND b.end0 <= a.end0 AND b.end0 - b.start0 < a.end0 - a.start0)"

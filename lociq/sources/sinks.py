@@ -93,7 +93,8 @@ def solo_names(loci: DataFrame, prefix: str = "solo") -> DataFrame:
 
 
 def bed6_lines(df: DataFrame, name: Column, bits: Column) -> DataFrame:
-    score = F.least(F.greatest(F.round(bits), F.lit(0)), F.lit(1000)).cast("int")
+    """Scores are rounded, halves to the even neighbour, and held in 0 to 1000."""
+    score = F.least(F.greatest(F.bround(bits), F.lit(0)), F.lit(1000)).cast("int")
     return df.withColumn("line", F.concat_ws("\t", "seqid", "start0", "end0", name, score, "strand"))
 
 
