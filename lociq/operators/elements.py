@@ -5,71 +5,79 @@ Columns: key, seqid, start1, end1 (1-based inclusive), aln, p, and where needed
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components, depths, direct_children
+from .graph import components, depths, direct_children, settle
 from .grouped import per_group
 from .interval import islands, overlap_join
 
-RATIO_CAP = 2.5
-
-
-def _best(rows: list) -> object:
-    """Most matching bases, unless its distance is more than RATIO_CAP times the least distance per aligned length."""
-    score = max(rows, key=lambda r: r.aln * (1.0 - r.p))
-    near = min(rows, key=lambda r: (r.p, -r.aln))
-    high, low = max(score.p, 1e-10), max(near.p, 1e-10)
-    return near if near is not score and high / low > RATIO_CAP * max(score.aln, 1) / max(near.aln, 1) else score
-
-
-def _share_ends(a, b) -> bool:
-    if any(pd.isna(x) for x in (a.l_end, a.r_start, b.l_end, b.r_start)):
-        return False
-    ends = lambda r: ((r.start1, r.l_end), (r.r_start, r.end1))
-    return any(x[0] <= y[1] and y[0] <= x[1] for x in ends(a) for y in ends(b))
-
-
-def _inside(a, b) -> bool:
-    return a.end1 - a.start1 < b.end1 - b.start1 and b.start1 <= a.start1 and a.end1 <= b.end1
-
-
-def _overlap(a, b) -> float:
-    both = min(a.end1, b.end1) - max(a.start1, b.start1) + 1
-    return max(0, both) / max(1, min(a.end1 - a.start1, b.end1 - b.start1) + 1)
-
-
-def _grouped(members: list, linked) -> list[list]:
-    """Groups of members that are linked, directly or through others."""
-    groups: list[list] = []
-    for m in members:
-        joined = [g for g in groups if any(linked(m, x) for x in g)]
-        groups = [g for g in groups if g not in joined] + [[x for g in joined for x in g] + [m]]
-    return groups
-
-
-def _resolve(cluster: list) -> list[tuple]:
-    """(row, nests) of those of a cluster that survive."""
-    if len(cluster) == 1:
-        return [(cluster[0], [])]
-    nested = lambda a, b: (_inside(a, b) or _inside(b, a)) and not _share_ends(a, b)
-    beaten = {r.key for r in cluster for o in cluster if o is not r and o.tsd and not r.tsd and not nested(r, o)}
-    left = [r for r in cluster if r.key not in beaten]
-    if len(left) == 1:
-        return [(left[0], [])]
-    nests: dict[str, list] = {}
-    for i, a in enumerate(left):
-        for b in left[i + 1 :]:
-            if nested(a, b):
-                inner, outer = (a, b) if _inside(a, b) else (b, a)
-                nests.setdefault(inner.key, []).append(("nest-inner", outer.key))
-                nests.setdefault(outer.key, []).append(("nest-outer", inner.key))
-    kept = [_best(g) for g in _grouped([r for r in left if r.key in nests], _share_ends)]
-    alive = {r.key for r in kept}
-    out = [(r, [n for n in nests[r.key] if n[1] in alive]) for r in kept]
-    rest = [r for r in left if r.key not in nests]
-    return out + ([(_best(rest), [])] if rest else [])
+#: How much more distance per aligned base the call with most matching bases may have than the closest one.
+RATE_CAP = 2.5
+
+
+class Cluster:
+    """Calls that overlap, as arrays; relations are square matrices, rows in the order given."""
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        self.key = rows["key"].to_numpy(object)
+        self.start, self.end = rows["start1"].to_numpy("i8"), rows["end1"].to_numpy("i8")
+        self.aln, self.p = rows["aln"].to_numpy("f8"), rows["p"].to_numpy("f8")
+        self.tsd = rows["tsd"].map(bool).to_numpy() & rows["tsd"].notna().to_numpy()
+        l_end, r_start = rows["l_end"].to_numpy("f8"), rows["r_start"].to_numpy("f8")  # nan: not known
+        length = self.end - self.start
+        shared = np.zeros((len(rows), len(rows)), bool)
+        for s, t in ((self.start, l_end), (r_start, self.end)):
+            for u, v in ((self.start, l_end), (r_start, self.end)):
+                shared |= (s[:, None] <= v[None]) & (u[None] <= t[:, None])
+        known = ~(np.isnan(l_end) | np.isnan(r_start))
+        self.shared = shared & known[:, None] & known[None]
+        #: row inside column, strictly shorter, without a repeat in common
+        self.inside = (length[:, None] < length[None]) & (self.start[None] <= self.start[:, None]) & (self.end[:, None] <= self.end[None]) & ~self.shared
+
+    def best(self, at: np.ndarray) -> int:
+        """That with most matching bases, but the closest one where its distance per aligned base is far less."""
+        top = at[np.argmax(self.aln[at] * (1.0 - self.p[at]))]
+        near = at[np.lexsort((-self.aln[at], self.p[at]))[0]]
+        rate = np.maximum(self.p, 1e-10) / np.maximum(self.aln, 1)
+        return int(near if rate[top] > RATE_CAP * rate[near] else top)
+
+    def survivors(self) -> list[tuple[int, str]]:
+        """(row, its nestings): with a duplication before without, nests stay, one of each group with common repeats."""
+        nested = self.inside | self.inside.T
+        rivals = ~nested & self.tsd[None]
+        left = np.flatnonzero(self.tsd | ~rivals.any(axis=1))
+        if len(left) == 1:
+            return [(int(left[0]), ".")]
+        among = nested[np.ix_(left, left)].any(axis=1)
+        nests, rest = left[among], left[~among]
+        group = np.arange(len(nests))
+        linked = self.shared[np.ix_(nests, nests)] | np.eye(len(nests), dtype=bool)
+        while len(nests) and (new := np.where(linked, group[None], len(nests)).min(axis=1)).tolist() != group.tolist():
+            group = new
+        kept = [self.best(nests[group == g]) for g in np.unique(group)]
+        out = []
+        for i in kept:
+            other = [j for j in left if j in kept and nested[i, j]]
+            out.append((i, ";".join(f"{'nest-inner' if self.inside[i, j] else 'nest-outer'}:{self.key[j]}" for j in other) or "."))
+        return out + ([(self.best(rest), ".")] if len(rest) else [])
+
+
+def _clusters(start: np.ndarray, end: np.ndarray, threshold: float) -> list[np.ndarray]:
+    """Rows in order of (start, end): a row joins the cluster before it where it overlaps a member by the threshold."""
+    out, first = [], 0
+    for i in range(1, len(start) + 1):
+        if i < len(start):
+            s, e = start[first:i], end[first:i]
+            both = np.minimum(end[i], e) - np.maximum(start[i], s) + 1
+            shorter = np.maximum(np.minimum(end[i] - start[i], e - s) + 1, 1)
+            if (np.maximum(both, 0) / shorter >= threshold).any():
+                continue
+        out.append(np.arange(first, i))
+        first = i
+    return out
 
 
 RESULT = "key string, seqid string, start1 bigint, end1 bigint, aln bigint, p double, tsd string, nest_status string"
@@ -82,19 +90,16 @@ def deduplicated(elements: DataFrame, threshold: float = 0.8) -> DataFrame:
     cluster can't reach across a stretch that no call covers, so each island is a task of its own.
     """
 
+    names = [c.split(" ")[0] for c in RESULT.split(", ")]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.astype(object).where(pdf.notna(), None).sort_values(["start1", "end1", "key"]).itertuples())
-        clusters: list[list] = []
-        for r in rows:
-            if clusters and any(_overlap(r, m) >= threshold for m in clusters[-1]):
-                clusters[-1].append(r)
-            else:
-                clusters.append([r])
-        out = [(r.key, r.seqid, r.start1, r.end1, r.aln, r.p, r.tsd, ";".join(f"{role}:{k}" for role, k in n) or ".") for c in clusters for r, n in _resolve(c)]
-        return pd.DataFrame(out, columns=[c.split(" ")[0] for c in RESULT.split(", ")])
+        pdf = pdf.sort_values(["start1", "end1", "key"]).reset_index(drop=True)
+        kept = []
+        for rows in _clusters(pdf["start1"].to_numpy("i8"), pdf["end1"].to_numpy("i8"), threshold):
+            kept += [(rows[i], nests) for i, nests in Cluster(pdf.iloc[rows]).survivors()] if len(rows) > 1 else [(rows[0], ".")]
+        return pdf.iloc[[i for i, _ in kept]].assign(nest_status=[n for _, n in kept])[names]
 
     rows = elements.withColumn("__to", F.col("end1") + 1)
-    names = [c.split(" ")[0] for c in RESULT.split(", ")]
     alone = lambda p: p.assign(nest_status=".")[names]
     return per_group(islands(rows, ["seqid"], "start1", "__to"), ["seqid", "island"], run, RESULT, alone)
 
@@ -116,7 +121,7 @@ def reconciled(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
     left = e.join(best, "key", "left_semi")
     inside = (F.col("start1") <= F.col("b_start1")) & (F.col("b_end1") <= F.col("end1")) & (F.col("b_end1") - F.col("b_start1") < F.col("end1") - F.col("start1")) & ~touch
     nest = overlap_join(left, left, ["seqid"], on=inside, a_cols=("start1", "end1"), b_cols=("start1", "end1")).select(F.col("key").alias("outer"), F.col("b_key").alias("inner"))
-    children = direct_children(nest)
+    children = settle(direct_children(settle(nest)))
     depth = depths(children, left.select(F.col("key").alias("node")))
     return left.join(depth, F.col("key") == F.col("node")).drop("node"), children
 

@@ -9,9 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _shared(spark: SparkSession) -> str:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Where a local session names none, one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         named = tempfile.mkdtemp(prefix="lociq-")
@@ -20,12 +23,22 @@ def _shared(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage: written to the folder that all executors share, and read again."""
-    path = f"{_shared(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    """Cut the lineage: written to the folder that all executors share, and read again; survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unsettle(df: DataFrame) -> None:
+    """Delete the files of a settled table that no plan reads any more."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/settled-" in folder:
+            p = jvm.org.apache.hadoop.fs.Path(folder)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node, root: the least node that is reachable, by alternating large and small stars.
 
@@ -43,7 +56,9 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         down = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(down, "b").select(F.col("m").alias("x"), F.col("a").alias("y")).union(down.select("m", "b")).where("x <> y")
-        now = settle(small.toDF("a", "b").distinct())
+        after = settle(small.toDF("a", "b").distinct())
+        unsettle(now)
+        now = after
     found = now.select(F.col("b").alias("node"), F.col("a").alias("root"))
     if nodes is None:
         return found.union(found.select("root", "root").distinct())
@@ -59,10 +74,11 @@ def direct_children(edges: DataFrame) -> DataFrame:
 
 def depths(children: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, depth: the longest path inwards to a leaf (0). Rounds run until nothing changes: one a level of nesting."""
-    now = settle(nodes.select("node", F.lit(0).alias("depth")))
+    now, children = settle(nodes.select("node", F.lit(0).alias("depth"))), settle(children)
     while True:
         up = children.join(now, F.col("inner") == F.col("node")).groupBy("outer").agg((F.max("depth") + 1).alias("d"))
         new = settle(now.join(up, F.col("node") == F.col("outer"), "left").select("node", F.greatest("depth", F.coalesce("d", F.lit(0))).alias("depth"), (F.coalesce("d", F.lit(0)) > F.col("depth")).alias("moved")))
+        unsettle(now)
         if new.where("moved").isEmpty():
             return new.select("node", "depth")
         now = new.drop("moved")
@@ -84,29 +100,33 @@ def cliques(pairs: DataFrame, species: list[str]) -> DataFrame:
 def two_colour(edges: DataFrame) -> DataFrame:
     """node, root, colour, conflicts of its component: parity along links that must differ (or, where ``same``, agree).
 
-    Components are found first; each, a few chromosomes, is coloured as a group of its own. edges: a, b, same, weight.
+    Components are found first; each, a few chromosomes, is coloured as a group of its own, in which equal links are one
+    row with a count. edges: a, b, same.
     """
+    from collections import deque
+
     import pandas as pd
 
-    root = components(edges.select("a", "b"))
-    dealt = edges.join(root, F.col("a") == F.col("node")).select("root", "a", "b", "same", "weight")
+    each = edges.groupBy("a", "b", "same").agg(F.count("*").alias("n"))
+    root = components(each.select("a", "b"))
+    dealt = each.join(root, F.col("a") == F.col("node")).select("root", "a", "b", "same", "n")
 
     def colour(pdf: pd.DataFrame) -> pd.DataFrame:
         near: dict = {}
-        for a, b, same in sorted(zip(pdf["a"], pdf["b"], pdf["same"], strict=True)):
-            near.setdefault(a, []).append((b, same))
-            near.setdefault(b, []).append((a, same))
+        for a, b, same, n in zip(pdf["a"], pdf["b"], pdf["same"], pdf["n"], strict=True):
+            near.setdefault(a, []).append((b, same, n))
+            near.setdefault(b, []).append((a, same, n))
         start = min(near)
-        found, queue, wrong = {start: 0}, [start], 0
+        found, queue, wrong = {start: 0}, deque([start]), 0
         while queue:
-            a = queue.pop(0)
-            for b, same in sorted(near[a]):
+            a = queue.popleft()
+            for b, same, n in sorted(near[a]):
                 c = found[a] if same else 1 - found[a]
                 if b not in found:
                     found[b] = c
                     queue.append(b)
                 elif found[b] != c:
-                    wrong += 1  # counted once for each of the two visits
+                    wrong += n  # counted once for each of the two visits
         return pd.DataFrame({"node": list(found), "root": pdf["root"].iloc[0], "colour": list(found.values()), "conflicts": wrong})
 
     kind = edges.schema["a"].dataType.simpleString()

@@ -65,8 +65,7 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner"
     how: inner, left_semi, left_anti.
     """
     (s, e), (bs, be) = a_cols, b_cols
-    left = a if how == "inner" else a.withColumn("__row", F.monotonically_increasing_id())
-    left = left.withColumn("__e", F.col(e) + gap)
+    left = a.withColumn("__e", F.col(e) + gap)
     right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
     right = right.withColumn("__be", F.col(f"b_{be}") + gap)
     # side 1: a on its own level, b on it or above its own; side 2: a above its own level, b on its own
