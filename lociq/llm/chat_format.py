@@ -1,19 +1,23 @@
-"""Chat formatting by quotation linking.
+"""Chat formatting by quotation linking, with DataFrame functions only.
 
 Method: the lines of each message are parsed into nested quote levels (the number of leading ``>``). A quoted line,
 and a whole run of quoted lines of one level, is normalised (lower case, white space runs to one space) and hashed;
-the hashes join to the hashes of the unquoted lines and bodies of earlier messages of the conversation. The quoted
-message of level 1 with the most matching lines (ties: the latest) is the one replied to, that of level 2 its
-predecessor, and so on. Messages come without quotes, in reply order: by turn, which every reply follows.
+the hashes join to the hashes of the unquoted lines and bodies of earlier messages of the conversation, the latest of
+which counts. The quoted message of level 1 with the most matching units (ties: the latest) is the one replied to, that
+of level 2 its predecessor, and so on. A message without such a link replies to the message before it. Conversations
+come without quotes and in reply order: a message stands behind the one it replies to, with all that follows on it
+before the next reply to the same message.
 
 Defined cases: a null text is empty; a null role is ``user``; rows with a null conv_id form a conversation of their
-own; rows with a null turn come first and can't be replied to. Rows that share a turn keep an order by role and
-text, and repeated rows are all kept. A quote that no earlier message holds links to nothing. Other columns are
-dropped; an empty table gives an empty result.
-
-Hot keys: positions are counted by buckets of at most 256 turns (salted by text beyond, where turns repeat), and the
-latest earlier holder of a hash is found in two steps, within buckets of turns and then between buckets, so that no
-task gets a whole large conversation. No pairs of messages are formed.
+own; rows with a null turn come first, link to nothing and nothing links to them. Rows that share a turn keep an order
+by a hash of role and text, and repeated rows are all kept; none of them is earlier than another. A quote that no
+earlier message holds links to nothing. Texts of any length are taken whole. Other columns are dropped, so none can
+clash; an empty table gives an empty result.
+
+Hot keys: places in a conversation are running counts over ranges of the sorted rows (``running``), so neither a long
+conversation nor a turn that repeats falls to one task. The latest earlier holder of a hash is found in two steps,
+within buckets of turns and then between buckets, over distinct turns. Reply chains are followed by doubling, over
+branches, not messages. No pairs of messages are formed.
 """
 
 from __future__ import annotations
@@ -22,7 +26,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-TURNS = 256
+from .common import cut, drop_cut, n_partitions
+
+BUCKET = 256
 MARK = r"^((?:[ \t]{0,3}>)+)"
 
 
@@ -78,75 +84,112 @@ def _units(runs: Column, wanted) -> Column:
     return F.flatten(F.transform(F.filter(runs, wanted), of))
 
 
-def _latest_before(quotes: DataFrame, originals: DataFrame) -> DataFrame:
-    """quotes with ``target``: the latest earlier turn of the conversation that holds the hash."""
-    key = ["__conv", "h1", "h2"]
-    held = originals.groupBy(*key, "turn").agg(F.lit(1))
-    held = held.select(*key, "turn", F.lit(None).cast("int").alias("level"), F.lit(True).alias("__held"))
-    rows = quotes.select(*key, "turn", "level", F.lit(False).alias("__held")).unionByName(held)
-    rows = rows.withColumn("__bucket", F.floor(F.col("turn") / TURNS))
-    near = W.partitionBy(*key, "__bucket").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("__near", F.max(F.when(F.col("__held"), F.col("turn"))).over(near))
-    last = rows.groupBy(*key, "__bucket").agg(F.max(F.when(F.col("__held"), F.col("turn"))).alias("__last"))
-    before = W.partitionBy(*key).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    last = last.select(*key, "__bucket", F.max("__last").over(before).alias("__far"))
-    return (
-        rows.where(~F.col("__held"))
-        .join(last, [*key, "__bucket"], "left")
-        .select("__conv", "turn", "level", F.coalesce("__near", "__far").alias("target"))
+def running(rows: DataFrame, key: str, order: list[str], weight: str, out: str) -> DataFrame:
+    """rows with ``out``: the sum of ``weight`` over the rows of the key that stand before, in a unique order.
+
+    The rows are dealt to ranges of (key, order); each range sums up its own, and the ranges' totals of a key are summed
+    up in turn. So the largest task holds a range, whatever the key.
+    """
+    dealt = rows.repartitionByRange(n_partitions(rows), key, *order).sortWithinPartitions(key, *order)
+    dealt = cut(dealt.withColumn("at", F.monotonically_increasing_id())).withColumn("range", F.shiftright("at", 33))
+    inside = F.sum(weight).over(W.partitionBy(key, "range").orderBy("at").rowsBetween(W.unboundedPreceding, -1))
+    totals = dealt.groupBy(key, "range").agg(F.sum(weight).alias("total"))
+    carried = F.sum("total").over(W.partitionBy(key).orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+    totals = totals.select(key, "range", F.coalesce(carried, F.lit(0)).alias("carried"))
+    out_ = F.col("carried") + F.coalesce("inside", F.lit(0))
+    return dealt.withColumn("inside", inside).join(totals, [key, "range"]).withColumn(out, out_).drop("at", "range", "inside", "carried")
+
+
+def latest(points: DataFrame, marks: DataFrame, keys: list[str], strict: bool) -> DataFrame:
+    """points (keys, at; distinct) with ``mark``: the mark (keys, at, mark; distinct at) with the greatest ``at`` that is
+    not beyond the point's (strict: that is before it); null without one. Buckets of ``at`` are looked at first."""
+    rows = points.select(*keys, "at", F.lit(None).cast(marks.schema["mark"].dataType).alias("held"))
+    rows = rows.unionByName(marks.select(*keys, "at", F.col("mark").alias("held"))).withColumn("bucket", F.floor(F.col("at") / BUCKET))
+    found = F.when(F.col("held").isNotNull(), F.struct("at", "held"))
+    near = W.partitionBy(*keys, "bucket").orderBy("at").rangeBetween(W.unboundedPreceding, -1 if strict else 0)
+    before = W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    last = rows.groupBy(*keys, "bucket").agg(F.max(found).alias("last")).withColumn("far", F.max("last").over(before)).drop("last")
+    rows = rows.withColumn("near", F.max(found).over(near)).where("held is null").drop("held")
+    return rows.join(last, [*keys, "bucket"]).select(*keys, "at", F.coalesce("near", "far")["held"].alias("mark"))
+
+
+def _numbered(messages: DataFrame) -> DataFrame:
+    """conv, conv_id, turn, role, text, at: messages numbered from 0 in their conversation, by turn. Settled."""
+    conv = F.when(F.col("conv_id").isNull(), "").otherwise(F.concat(F.lit("c"), F.col("conv_id").cast("string")))
+    rows = cut(
+        messages.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+        .withColumns({"conv": conv, "row": F.monotonically_increasing_id()})
     )
+    slim = rows.select("conv", "turn", F.xxhash64("role", "text").alias("h"), "row", F.lit(1).alias("one"))
+    places = running(slim, "conv", ["turn", "h", "row"], "one", "n").select("row", F.col("n").alias("at"))
+    return cut(rows.join(places, "row").drop("row"))
+
+
+def _links(numbered: DataFrame) -> DataFrame:
+    """conv, at, target (struct<turn, at> or null), ancestors: of messages that quote an earlier one. Settled."""
+    quoting = numbered.where(F.col("turn").isNotNull() & F.col("text").rlike(r"(?m)^[ \t]{0,3}>"))
+    convs = quoting.select("conv").distinct()
+    parsed = numbered.where("turn is not null").join(convs, "conv", "left_semi").select("conv", "turn", "at", parse_quotes(F.col("text")).alias("runs"))
+    quotes = parsed.select("conv", "turn", "at", F.inline(_units(F.col("runs"), lambda r: r["level"] > 0)))
+    held = parsed.select("conv", "turn", "at", F.inline(_units(F.col("runs"), lambda r: r["level"] == 0)))
+    keys = ["conv", "h1", "h2"]
+    marks = held.groupBy(*keys, "turn").agg(F.max("at").alias("last")).select(*keys, F.col("turn").alias("at"), F.struct("turn", F.col("last").alias("at")).alias("mark"))
+    asked = quotes.select(*keys, F.col("turn").alias("at")).distinct()
+    found = cut(latest(asked, marks, keys, strict=True).where("mark is not null").withColumnRenamed("at", "turn"))
+    votes = quotes.join(found, [*keys, "turn"]).groupBy("conv", "at", "level", "mark").count()
+    best = votes.groupBy("conv", "at", "level").agg(F.max(F.struct("count", "mark"))["mark"].alias("mark"))
+    return cut(
+        best.groupBy("conv", "at").agg(
+            F.max(F.when(F.col("level") == 1, F.col("mark"))).alias("target"),
+            F.array_sort(F.collect_list(F.struct("level", F.col("mark.turn").alias("turn")))).alias("ancestors"),  # a row for each level
+        )
+    )
+
+
+def _branches(numbered: DataFrame, links: DataFrame) -> DataFrame:
+    """conv, start, path, size: stretches of messages that each reply to the one before; all but a conversation's first
+    begin at a link to another message. Paths sort as the reply order does."""
+    starts = cut(links.where(F.col("target.at") < F.col("at") - 1).select("conv", F.col("at").alias("start"), F.col("target.at").alias("onto")))
+    first = starts.select("conv").distinct().select("conv", F.lit(0).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("onto"))
+    marks = first.unionByName(starts).select("conv", F.col("start").alias("at"), F.col("start").alias("mark"))
+    parents = latest(starts.select("conv", F.col("onto").alias("at")).distinct(), marks, ["conv"], strict=False).withColumnsRenamed({"at": "onto", "mark": "up"})
+    # of replies to one stretch, those to its later messages come first: they follow on what stands before them
+    own = F.array(F.struct((-F.col("onto")).alias("onto"), "start"))
+    none = F.filter(F.array(F.struct(F.col("start").alias("onto"), "start")), lambda x: F.lit(False))
+    now = cut(first.select("conv", "start", F.col("onto").alias("up"), none.alias("path")).unionByName(starts.join(parents, ["conv", "onto"]).select("conv", "start", "up", own.alias("path"))))
+    while not now.where("up is not null").isEmpty():
+        above = now.select("conv", F.col("start").alias("up"), F.col("up").alias("upper"), F.col("path").alias("before"))
+        new = cut(now.join(above, ["conv", "up"], "left").select("conv", "start", F.col("upper").alias("up"), F.concat(F.coalesce("before", none), "path").alias("path")))
+        drop_cut(now)
+        now = new
+    inside = latest(numbered.join(first.select("conv"), "conv", "left_semi").select("conv", "at"), marks, ["conv"], strict=False)
+    sizes = inside.groupBy("conv", F.col("mark").alias("start")).agg(F.count("*").alias("size"))
+    return running(now.drop("up").join(sizes, ["conv", "start"]), "conv", ["path", "start"], "size", "first")
 
 
 def link_quotations(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, position, quote_depth, reply_to, ancestors, body: messages without quotes in reply order.
 
-    reply_to: the turn replied to, or null. ancestors: array<struct<level, turn>> of all quoted levels that are found.
+    reply_to: the turn replied to, where a quote tells it, else null. ancestors: array<struct<level, turn>> of all
+    quoted levels that are found. position: from 0, in the conversation's reply order.
     """
-    parsed = messages.select(
-        "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("__text")
-    ).withColumn("__runs", F.when(F.col("__text").rlike(r"(?m)^[ \t]{0,3}>"), parse_quotes(F.col("__text"))).otherwise(F.array(F.struct(F.lit(0).alias("level"), F.col("__text").alias("text")))))
-    parsed = parsed.withColumns({"__conv": F.coalesce(F.col("conv_id").cast("string"), F.lit("")), "quote_depth": F.array_max(F.transform("__runs", lambda r: r["level"]))})
-    some = parsed.where((F.col("quote_depth") > 0) & F.col("turn").isNotNull())
-    quotes = some.select("__conv", "turn", F.inline(_units(F.col("__runs"), lambda r: r["level"] > 0)))
-    quoting = some.select("__conv").distinct()
-    originals = (
-        parsed.where(F.col("turn").isNotNull())
-        .join(quoting, "__conv", "left_semi")
-        .select("__conv", "turn", F.inline(_units(F.col("__runs"), lambda r: r["level"] == 0)))
-    )
-    votes = _latest_before(quotes, originals).where("target is not null").groupBy("__conv", "turn", "level", "target").count()
-    best = (
-        votes.groupBy("__conv", "turn", "level")
-        .agg(F.max(F.struct("count", "target"))["target"].alias("target"))
-        .groupBy("__conv", "turn")
-        .agg(
-            F.max(F.when(F.col("level") == 1, F.col("target"))).alias("reply_to"),
-            F.array_sort(F.collect_list(F.struct("level", F.col("target").alias("turn")))).alias("ancestors"),  # a row for each level at most
-        )
-    )
-    own = F.array_join(F.filter(F.transform("__runs", lambda r: F.when(r["level"] == 0, F.regexp_replace(r["text"], r"^\s+|\s+$", ""))), lambda t: t.isNotNull() & (t != "")), "\n\n")
-    body = F.when(F.col("quote_depth") > 0, own).otherwise(F.col("__text"))
-    out = parsed.withColumn("body", body).select("conv_id", "__conv", "turn", "role", "quote_depth", "body")
-    out = positions(out)
-    return out.join(best, ["__conv", "turn"], "left").select(
-        "conv_id", "turn", "role", "position", "quote_depth", "reply_to", "ancestors", "body"
-    )
-
-
-def positions(messages: DataFrame) -> DataFrame:
-    """With ``position``: 0-based place in the conversation by turn, role and body."""
-    bucket = F.coalesce(F.floor(F.col("turn") / TURNS), F.lit(-(1 << 62)))
-    rows = messages.withColumn("__bucket", bucket)
-    counts = rows.groupBy("conv_id", "__bucket").agg(F.count("*").alias("__n"))
-    before = W.partitionBy("conv_id").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.select(F.col("conv_id").alias("__c"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    rank = F.row_number().over(W.partitionBy("conv_id", "__bucket").orderBy("turn", "role", "body"))
-    return (
-        rows.withColumn("__rank", rank)
-        .join(counts, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("__bucket") == F.col("__b")), "left")
-        .withColumn("position", F.col("__before") + F.col("__rank") - 1)
-        .drop("__c", "__b", "__bucket", "__before", "__rank")
-    )
+    numbered = _numbered(messages)
+    links = _links(numbered)
+    text = F.col("text")
+    runs = F.when(text.rlike(r"(?m)^[ \t]{0,3}>"), parse_quotes(text)).otherwise(F.array(F.struct(F.lit(0).alias("level"), text.alias("text"))))
+    rows = numbered.withColumn("runs", runs).withColumn("quote_depth", F.array_max(F.transform("runs", lambda r: r["level"])))
+    own = F.array_join(F.filter(F.transform("runs", lambda r: F.when(r["level"] == 0, F.regexp_replace(r["text"], r"^\s+|\s+$", ""))), lambda t: t.isNotNull() & (t != "")), "\n\n")
+    rows = rows.withColumn("body", F.when(F.col("quote_depth") > 0, own).otherwise(text)).drop("runs", "text")
+    rows = rows.join(links, ["conv", "at"], "left").withColumn("reply_to", F.col("target.turn"))
+    moved = links.where(F.col("target.at") < F.col("at") - 1).select("conv").distinct()
+    if moved.isEmpty():  # all replies are to the message before
+        rows = rows.withColumn("position", F.col("at"))
+    else:
+        branches = cut(_branches(numbered, links))
+        at = latest(numbered.join(moved, "conv", "left_semi").select("conv", "at"), branches.select("conv", F.col("start").alias("at"), F.col("start").alias("mark")), ["conv"], strict=False)
+        place = at.withColumnRenamed("mark", "start").join(branches, ["conv", "start"]).select("conv", "at", (F.col("first") + F.col("at") - F.col("start")).alias("place"))
+        rows = rows.join(place, ["conv", "at"], "left").withColumn("position", F.coalesce("place", "at"))
+    return rows.select("conv_id", "turn", "role", F.col("position").cast("bigint").alias("position"), "quote_depth", "reply_to", "ancestors", "body")
 
 
 def render(linked: DataFrame, start: str = "<|", end: str = "|>") -> DataFrame:

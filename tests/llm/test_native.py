@@ -71,3 +71,87 @@ def test_nulls_ties_long_and_empty(spark):
     assert len(out) == 7 and sorted(r.position for r in out if r.conv_id == 3) == [0, 1, 2, 3]
     assert [r.message for r in out if r.conv_id == 4] == ["<|u|>\nz\n<|end|>\n"]
     assert cf.link_quotations(messages(spark, rows).limit(0)).collect() == []
+
+
+def brute_conversation(rows):
+    """rows of one conversation, in order: (turn, text) -> [(position, reply_to)] by rows, from lists alone."""
+    import re
+
+    def parse(text):
+        out = []
+        for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+            m = re.match(r"((?:[ \t]{0,3}>)+) ?", line)
+            level = m.group(1).count(">") if m else 0
+            body = line[m.end() :] if m else line
+            if out and out[-1][0] == level:
+                out[-1][1].append(body)
+            else:
+                out.append((level, [body]))
+        return out
+
+    def units(runs, wanted):
+        for level, lines in runs:
+            if wanted(level):
+                for u in [*lines, "\n".join(lines)] if len(lines) > 1 else lines:
+                    if u := " ".join(u.lower().split()):
+                        yield level, u
+
+    parsed = [parse(t) for _, t in rows]
+    held = [{u for _, u in units(p, lambda n: n == 0)} for p in parsed]
+    parent, reply = [], []
+    for i, (turn, _) in enumerate(rows):
+        votes = {}
+        for level, u in units(parsed[i], lambda n: n > 0):
+            earlier = [(rows[j][0], j) for j in range(len(rows)) if turn is not None and rows[j][0] is not None and rows[j][0] < turn and u in held[j]]
+            if earlier and level == 1:
+                j = max(earlier)[1]
+                votes[j] = votes.get(j, 0) + 1
+        best = max(votes, key=lambda j: (votes[j], rows[j][0], j)) if votes else None
+        reply.append(None if best is None else rows[best][0])
+        parent.append(i - 1 if best is None else best)
+    order = []
+
+    def walk(i):
+        order.append(i)
+        for j in range(len(rows)):
+            if parent[j] == i and j != 0:
+                walk(j)
+
+    if rows:
+        walk(0)
+    return [(order.index(i), reply[i]) for i in range(len(rows))]
+
+
+def test_conversations_against_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    rows, want = [], []
+    for conv in [None, *range(40)]:
+        lines, own = [f"line {i} of {conv}" for i in range(4)] + ["common line"], []
+        for turn in range(rng.randrange(1, 40)):
+            t = rng.choice(lines) + rng.choice(["", "\n" + rng.choice(lines), " x"])
+            for _ in range(rng.randrange(3)):
+                t = rng.choice([">", "> > ", ">> "]) + rng.choice([*lines, "nowhere"]) + "\n" + t
+            own.append((turn * 40 + conv % 3 if conv else turn * 300, t))
+        rows += [(conv, turn, "u", t) for turn, t in own]
+        want += [(conv, turn, *x) for (turn, _), x in zip(own, brute_conversation(own), strict=True)]
+    got = [(r.conv_id, r.turn, r.position, r.reply_to) for r in cf.link_quotations(messages(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sum(p != sorted(t for c, t, *_ in want if c == conv).index(turn) for conv, turn, p, _ in want) > 20  # links do move messages
+
+
+def test_rows_that_share_a_turn_and_null_conversations(spark):
+    rows = [(1, 0, "user", "alpha line"), (1, 1, "user", "> alpha line"), (1, 1, "user", "no quote here")]
+    got = {r.body: (r.reply_to, r.ancestors) for r in cf.link_quotations(messages(spark, rows)).collect()}
+    assert got["no quote here"] == (None, None) and got[""][0] == 0
+    texts = spark.createDataFrame([("", 0, "u", "gamma"), (None, 1, "u", "> gamma"), (None, 2, "u", "delta"), ("", 3, "u", "> delta"), ("c", 4, "u", "> gamma")], "conv_id string, turn long, role string, text string")
+    assert {r.reply_to for r in cf.link_quotations(texts).collect()} == {None}
+
+
+def test_one_turn_that_repeats_and_replies_of_replies(spark):
+    rows = [(1, 0, "u", "same")] * 300 + [(1, None, "u", f"t{i}") for i in range(50)] + [(1, 5, "u", "> same\nback")] + [(2, i, "u", f"> m{i - 2}\nm{i}") for i in range(60)]
+    got = cf.link_quotations(messages(spark, rows)).collect()
+    assert sorted(r.position for r in got if r.conv_id == 1) == list(range(351)) and [r.reply_to for r in got if r.turn == 5 and r.conv_id == 1] == [0]
+    chain = [(i, f"> m{i - 2}\nm{i}") for i in range(60)]
+    assert sorted((r.turn, r.position, r.reply_to) for r in got if r.conv_id == 2) == [(t, *x) for (t, _), x in zip(chain, brute_conversation(chain), strict=True)]
