@@ -77,7 +77,12 @@ class Encoder:
         self.byte = np.array([p.type == p.BYTE for p in proto.pieces])
         self.value = np.array([int(p.piece[3:5], 16) if p.type == p.BYTE else 0 for p in proto.pieces])
         self.length = np.array([0 if p.type == p.BYTE else len(p.piece) for p in proto.pieces])
-        self.raw = [bytes([v]) if b else p.piece.replace(SPACE, " ").encode() for p, b, v in zip(proto.pieces, self.byte.tolist(), self.value.tolist(), strict=True)]
+        kind = sentencepiece_model_pb2.ModelProto.SentencePiece
+        shown = {kind.UNKNOWN: proto.trainer_spec.unk_surface.encode(), kind.CONTROL: b""}
+        self.raw = [bytes([v]) if b else shown.get(p.type, p.piece.replace(SPACE, " ").encode()) for p, b, v in zip(proto.pieces, self.byte.tolist(), self.value.tolist(), strict=True)]
+        #: Whether a piece in front loses its space: those that are spelled out, not bytes, unknown or control pieces.
+        self.opens = [p.type not in (kind.UNKNOWN, kind.CONTROL, kind.BYTE) and p.piece.startswith(SPACE) for p in proto.pieces]
+        self.silent = [p.type == kind.CONTROL for p in proto.pieces]
         self.digits = [str(i) for i in range(len(proto.pieces))]
         spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces = b"", False, False, True
         self.segmenter = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
@@ -188,8 +193,17 @@ class Encoder:
         return np.concatenate(([0], ends[:-1])), ends
 
     def decoded(self, ids: list[int]) -> bytes:
+        """The text of the ids; bytes that spell no character are replaced, as in the library."""
+        if self.squeeze:
+            return self.processor.decode(ids).encode()
         out = b"".join(map(self.raw.__getitem__, ids))
-        return out[1:] if self.dummy and out[:1] == b" " else out
+        if self.dummy and next((self.opens[i] for i in ids if not self.silent[i]), False):
+            out = out[1:]
+        try:
+            out.decode()
+        except UnicodeDecodeError:
+            return self.processor.decode(ids).encode()
+        return out
 
 
 _encoders: dict[str, Encoder] = {}

@@ -48,6 +48,35 @@ def test_normalises_through_a_compiled_map():
             assert [n for n in ends] == [n for _, n in spans], (squeeze, t)
 
 
+def without_bytes():
+    """The model without byte fallback: what its pieces don't spell is unknown."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.ParseFromString(MODEL)
+    proto.trainer_spec.byte_fallback = False
+    for p in proto.pieces:
+        if p.type == p.BYTE:
+            p.type = p.UNUSED
+    return proto.SerializeToString()
+
+
+def test_decodes_any_ids_as_the_library():
+    import random
+
+    rng = random.Random(6)
+    for raw in (MODEL, without_bytes()):
+        e, lib = sc.Encoder(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
+        special = [i for i in range(lib.get_piece_size()) if lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i)]
+        some = [*special, lib.piece_to_id("▁"), lib.piece_to_id("▁the"), *rng.sample(range(lib.get_piece_size()), 200)]
+        for _ in range(2000):
+            ids = [rng.choice(some) for _ in range(rng.randrange(7))]
+            assert e.decoded(ids).decode() == lib.decode(ids), ids
+        for t in [*TEXTS, "hello 漢字 fox"]:
+            assert e.encode(t)[0].tolist() == lib.encode(t), t
+            assert e.decoded(lib.encode(t)).decode() == lib.decode(lib.encode(t)), t
+
+
 def test_query(spark, tmp_path):
     rows = [(i, t, "s") for i, t in enumerate(TEXTS)] + [(99, None, None), (0, "a", None)]
     spark.createDataFrame(rows, "doc_id long, text string, ids_sha256 string").write.parquet(f"{tmp_path}/documents.parquet")
