@@ -1,16 +1,18 @@
-"""Language ID: sparse multinomial logistic regression on TF-IDF byte n-grams of characters.
+"""Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Method: a text's hashed n-grams are weighted by (1 + log count) * idf and scaled to length 1. Document frequencies
+Method: the hashed n-grams of a text's characters (code points, in lower case) are weighted by (1 + log count) * idf and scaled to length 1. Document frequencies
 are counted over all training documents. The regression is trained by follow-the-regularised-leader (proximal, one
 step size per weight) with L1 and L2 penalties, which leave most weights zero; a temperature fitted to rows left out
 of the training calibrates its probabilities.
 
-The weights are fitted to a bounded sample of the training rows (``train_rows``, chosen by a hash of doc_id); the
-driver gets one count per bucket and the sample's n-grams. Every whole text is then predicted in one narrow pass.
+The weights are fitted to a bounded sample of the training rows: some TRAIN_ROWS different rows and TRAIN_CHARS
+characters in all, chosen by a hash of id and text. The driver gets one count per bucket and the sample's n-grams. Every
+whole text, whatever its length, is then predicted in one narrow pass.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0. Rows with a null lang or doc_id aren't
 learned from. Without training rows every text is ``und``; with one language all others have it. Repeated rows are
-predicted each; columns that clash are replaced.
+learned from once and predicted each, equal texts alike; columns that clash are replaced. An empty table gives an empty
+one.
 """
 
 from __future__ import annotations
@@ -20,11 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column, sliced, with_columns
-from .ngrams import counted, present
+from .ngrams import characters, counted, hashed, present
 from .quality import bounded, held_out
 
 ORDERS, BITS = (1, 2, 3), 16
-TRAIN_ROWS = 6000
+TRAIN_ROWS, TRAIN_CHARS = 6000, 30_000_000
+
+
+def buckets(text: str | None) -> np.ndarray:
+    return hashed(characters((text or "").lower()), ORDERS, BITS)
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -36,7 +42,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         total, n = np.zeros(1 << BITS, np.int64), 0
         for batch in sliced(batches):
             for t in column(batch, "text"):
-                total[present((t or "").lower(), ORDERS, BITS)] += 1
+                total[present(buckets(t), BITS)] += 1
                 n += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["bucket", "n"])
@@ -107,13 +113,13 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.languages or not text or not any(map(str.isalpha, text)):
             return "und", 0.0
-        at, count = counted(text.lower(), ORDERS, BITS)
+        at, count = counted(buckets(text), BITS)
         p = _softmax(self.weight[:, at] @ weighted(at, count, self.idf) / self.heat)
         best = int(p.argmax())
         return self.languages[best], float(p[best])
 
 
-def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS) -> Model:
     """docs (doc_id, text, lang), training rows only."""
     docs = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
     seen, n = document_frequencies(docs)
@@ -123,11 +129,12 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
         import pyarrow as pa
 
         for batch in sliced(batches):
-            made = [counted((t or "").lower(), ORDERS, BITS) for t in column(batch, "text")]
+            made = [counted(buckets(t), BITS) for t in column(batch, "text")]
             at, count = ([m[i].astype("<i4").tobytes() for m in made] for i in range(2))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index("doc_id")), pa.array(column(batch, "lang"), pa.string()), pa.array(at, pa.binary()), pa.array(count, pa.binary())], names=["doc_id", "lang", "at", "n"])
 
-    sample = bounded(docs, "doc_id", train_rows).mapInArrow(run, "doc_id bigint, lang string, at binary, n binary")
+    sized = docs.withColumn("__n", F.coalesce(F.length("text"), F.lit(0)))
+    sample = bounded(sized, ["doc_id", "lang", "text"], train_rows, "__n", train_chars).drop("__n").mapInArrow(run, "doc_id bigint, lang string, at binary, n binary")
     got = sample.toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("at", "ascending")])
     languages = sorted(set(got["lang"].to_pylist()))
     if not languages:
