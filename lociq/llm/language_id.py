@@ -141,7 +141,8 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, train_chars: int = TRAI
         return Model([], np.zeros((0, 1 << BITS)), idf, 1.0)
     rows = [(at, weighted(at, np.frombuffer(c, "<i4"), idf)) for a, c in zip(got["at"].to_pylist(), got["n"].to_pylist(), strict=True) for at in [np.frombuffer(a, "<i4")]]
     labels = np.array([languages.index(x) for x in got["lang"].to_pylist()])
-    out = np.arange(len(rows)) % 5 == 0 if len(rows) >= 50 else np.zeros(len(rows), bool)
+    # drawn, so that no pattern in the ids keeps a language out of the training
+    out = np.random.default_rng(7).permutation(len(rows)) % 5 == 0 if len(rows) >= 50 else np.zeros(len(rows), bool)
     weight = ftrl([r for r, o in zip(rows, out, strict=True) if not o], labels[~out], len(languages))
     logits = np.array([weight[:, at] @ x for (at, x), o in zip(rows, out, strict=True) if o]).reshape(-1, len(languages))
     return Model(languages, weight, idf, temperature(logits, labels[out]))
