@@ -109,6 +109,39 @@ def within(groups: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndar
     return query[row], member[word[row], hit]
 
 
+def within_radius(differing: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Of each row of ``differing`` (n, words; the bits in which a pair differs) whether at most its radius are set.
+
+    The pairs' bits are stored vertically, 64 pairs in a word, and the planes added to carry-save counters that start at
+    2^k - 1 - radius, each pair's own; words of which all pairs are beyond are abandoned.
+    """
+    n, bits = len(differing), 64 * differing.shape[1]
+    pack = lambda x: np.packbits(x, axis=-1, bitorder="little").view("<u8")
+    lanes = -(-n // 64) * 64
+    padded = np.zeros((lanes, differing.shape[1]), "<u8")
+    padded[:n] = differing
+    planes = pack(np.ascontiguousarray(np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little").T))
+    radius = np.minimum(np.concatenate((radius, np.zeros(lanes - n, np.int64))).astype(np.int64), bits)
+    k = max(1, int(radius.max(initial=0)).bit_length())
+    start = (1 << k) - 1 - radius
+    counters = [pack((start >> i & 1).astype(np.uint8)) for i in range(k)]
+    over = pack((np.arange(lanes) >= n).astype(np.uint8))
+    word = np.arange(len(over))
+    out = over.copy()
+    for b in range(bits):
+        carry = planes[b, word]
+        for i in range(k):
+            counters[i], carry = counters[i] ^ carry, counters[i] & carry
+        over = over | carry
+        if b % 32 == 31:
+            out[word] = over
+            alive = over != ONES
+            if 10 * np.count_nonzero(alive) < 7 * len(alive):
+                word, over, counters = word[alive], over[alive], [c[alive] for c in counters]
+    out[word] = over
+    return ~np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)[:n]
+
+
 def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least position of each position's component, by label propagation over the links of one batch."""
     root = np.arange(n)

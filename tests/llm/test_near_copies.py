@@ -54,6 +54,19 @@ def test_keys_of_near_sets_meet():
         a, b = np.unique(pool[:x]), np.unique(pool[gone : x + extra])
         if near(set(a.tolist()), set(b.tolist())) and (len(a) != len(b) or (a != b).any()):
             assert np.intersect1d(nc.keys(a), nc.keys(b)).size
+            common = np.intersect1d(nc.all_parts(a), nc.all_parts(b))
+            last = np.unique(rng.choice(common, min(len(common), int(rng.integers(1, 20))), replace=False))
+            assert np.intersect1d(nc.keys(a, last), nc.keys(b, last)).size
+
+
+def test_bit_sliced_distances():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 63, 64, 200):
+        x = rng.integers(0, 2**64, (n, 8), dtype=np.uint64) & rng.integers(0, 2**64, (n, 8), dtype=np.uint64)
+        radius = rng.integers(0, 300, n)
+        far = np.array([sum(int(w).bit_count() for w in r) for r in x.tolist()])
+        assert simhash.within_radius(x, radius).tolist() == (far <= radius).tolist()
+    assert simhash.within_radius(np.full((70, 8), 2**64 - 1, np.uint64), np.full(70, 10_000)).all()
 
 
 def test_stage_against_brute_force(spark):

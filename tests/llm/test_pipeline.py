@@ -5,8 +5,8 @@ import public_tokenizers
 import sentencepiece
 from lociq.llm import mixing, quality, simhash
 from tests.llm.test_mixing import slots_of
+from tests.llm.test_near_copies import brute_kept
 from tests.llm.test_repeats import brute_documents
-from tests.llm.test_simhash import brute_components, brute_print
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,8 +20,7 @@ def test_stages_against_brute_force(spark):
     want = {d for d, r in rows.items() if quality.score(model, r.text) >= 0.7}
     assert kept.columns == columns and {r.doc_id for r in kept.collect()} == want
     single = cp.cut(cp.drop_near_duplicates(spark, kept, SF))
-    groups = brute_components([(d, brute_print(rows[d].text)) for d in want])
-    assert sorted(r.doc_id for r in single.collect()) == sorted({c for _, _, c in groups}) and single.columns == columns
+    assert sorted(r.doc_id for r in single.collect()) == brute_kept([(d, rows[d].text) for d in want]) and single.columns == columns
     cleaned = cp.cut(cp.drop_repeated_passages(spark, single, SF))
     got = {r.doc_id: r for r in cleaned.collect()}
     removed = {d: n for d, _, n, _, _ in brute_documents([(r.doc_id, r.text) for r in single.collect()], 200)}
