@@ -3,17 +3,24 @@
 1. Equal texts are one row with a count (their digest is the key, pre-aggregated before the shuffle); a text of at
    least ``length`` bytes that occurs twice is removed whole.
 2. Anchors choose what needs suffixes at all, without loss: the least hash of the GRAM-byte strings within a window of
-   ``length`` bytes is the window's anchor, so equal windows have equal anchors. A run of windows with one anchor is a
-   context, and equal windows lie in contexts of the same anchor. Contexts whose anchor occurs in no other, and
-   once in theirs, hold no repeat; a context that occurs twice is repeated whole.
+   ``length`` bytes is the window's anchor, so equal windows have equal anchors, at equal places. A run of windows with
+   one occurrence of an anchor is a context: short, whatever the text, and no two of its windows are equal. A stretch of
+   equal contexts behind one another, as in periodic text, is one context with a count. Contexts whose anchor occurs in
+   no other hold no repeat; a context that occurs twice is repeated whole.
 3. The other contexts of repeated anchors are dealt by anchor. Their suffixes are sorted in shards, and the shards'
    Burrows-Wheeler transforms are merged by interleave refinement (bwt_merge), which gives common prefixes and the
-   intervals of repeated strings. Anchors with more than GROUP_BYTES of different contexts, which one task shouldn't
-   gather, are resolved by counting 128-bit digests of their windows instead, pre-aggregated and dealt by digest.
-4. The spans go back to all occurrences of a context, then to the texts, and unite there.
+   intervals of repeated strings.
+4. Anchors with more than GROUP_BYTES of different contexts, which one task shouldn't gather, are split before that: by
+   how far the anchor is from a window's start, into ranges that narrow from round to round (WIDTHS), and by the bytes
+   that all windows of a range have in common. Equal windows stay together, contexts that differ there don't, and those
+   that become equal are one. In the last round a range is one window, so what is left of any group is equal.
+5. The spans go back to all occurrences of a context, then to the texts, and unite there.
+
+Equality of texts is told by 128 bits of SHA-256, that of contexts by 64 bits of the anchor's and 64 of their own hash.
 
 Defined cases: a null text is empty; texts shorter than ``length`` keep all bytes; repeated rows are documents of their
-own, so they remove each other. Strings may overlap and may start twice in one text. Columns that clash are replaced.
+own, so they remove each other. Strings may overlap and may start twice in one text. Very long texts are cut into pieces
+of windows for step 2. Columns that clash are replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,38 +32,71 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bwt_merge import covered, repeated_starts
-from .common import column, cut, sliced, with_columns
+from .common import column, cut, n_partitions, sliced, with_columns
 
 LENGTH = 200
 GRAM = 64
 GROUP_BYTES = 2 << 20
 BATCH_BYTES = 1 << 20
+#: Windows in a range of a group that is split, by round.
+WIDTHS = (18, 3, 1)
+#: Windows of a text that are looked at together.
+PIECE = 1 << 20
 
 _SALT = np.random.default_rng(20_200).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def contexts(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """anchor, begin, end of each maximal run of windows with the same anchor, and whether the anchor's string occurs
-    more than once in the data, without which no window of the run can equal another. len(data) >= length."""
-    gram = 1 << min(gram, length).bit_length() - 1
+def _gram(length: int) -> int:
+    return 1 << min(GRAM, length).bit_length() - 1
+
+
+def _grams(data: bytes, gram: int) -> np.ndarray:
+    """The hash of each string of ``gram`` bytes, from those of its halves."""
     h, mul, size = _SALT[np.frombuffer(data, np.uint8)], 0x9E3779B97F4A7C15, 1
-    while size < gram:  # a string's hash from those of its halves
+    while size < gram:
         h = h[:-size] * np.uint64(mul) + h[size:]
         mul, size = mul * mul % (1 << 64), size * 2
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(29)
-    in_order = np.sort(h)
-    twice = in_order[1:][in_order[1:] == in_order[:-1]]
-    reach, size = length - gram + 1, 1
+    return h ^ (h >> np.uint64(29))
+
+
+def contexts(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """anchor, begin, size, end, times of each context: size bytes from begin on, which repeat up to end, times in all.
+
+    len(data) >= length. Pieces of a long text are worked on in turn; a border between them only cuts a context in two.
+    """
+    n = len(data) - length + 1
+    parts = [_contexts(data[a : a + PIECE + length - 1], a, length) for a in range(0, n, PIECE)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if len(parts) > 1 else parts[0]
+
+
+def _contexts(data: bytes, at: int, length: int) -> tuple[np.ndarray, ...]:
+    h = _grams(data, _gram(length))
+    reach, size, least = length - _gram(length) + 1, 1, h
     while size * 2 <= reach:
-        h, size = np.minimum(h[:-size], h[size:]), size * 2
+        least, size = np.minimum(least[:-size], least[size:]), size * 2
     if reach > size:
-        h = np.minimum(h[: size - reach], h[reach - size :])
-    new = np.flatnonzero(h[1:] != h[:-1]) + 1
+        least = np.minimum(least[: size - reach], least[reach - size :])
+    # the next window has another anchor, or the next occurrence of the same
+    new = np.flatnonzero((least[1:] != least[:-1]) | (h[: len(least) - 1] == least[:-1])) + 1
     begin = np.concatenate(([0], new))
-    anchor = h[begin]
-    again = np.isin(anchor, twice) if len(twice) else np.zeros(len(anchor), bool)
-    return anchor.view("<i8"), begin, np.append(new, len(h)) - 1 + length, again
+    anchor, size = least[begin], np.append(new, len(least)) - begin + length - 1
+    end, times = begin + size, np.ones(len(begin), np.int64)
+    again = (anchor[1:] == anchor[:-1]) & (size[1:] == size[:-1])
+    if again.any():
+        raw = np.frombuffer(data, np.uint8)
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], again, [False])).astype(np.int8)))
+        for first, last in edges.reshape(-1, 2).tolist():  # contexts first to last, of one anchor and size
+            period = int(begin[first + 1] - begin[first])
+            a, b = int(begin[first]), int(end[last])
+            wrong = np.concatenate(([0], np.cumsum(raw[a : b - period] != raw[a + period : b])))
+            from_ = begin[first:last] - a
+            again[first:last] = (np.diff(begin[first : last + 1]) == period) & (wrong[from_ + size[first]] == wrong[from_])
+        head = np.flatnonzero(np.concatenate(([True], ~again)))
+        times = np.diff(np.append(head, len(begin)))
+        end = end[head + times - 1]
+        anchor, begin, size = anchor[head], begin[head], size[head]
+    return anchor.view("<i8"), begin + at, size, end + at, times
 
 
 def _key(data: bytes) -> tuple[int, int]:
@@ -90,19 +130,23 @@ def _unpack(batch) -> list[bytes]:
     return [unpack(z) for z in column(batch, "z")]
 
 
+def _digests(pieces: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(p) for p in pieces], np.uint64).view("<i8")
+
+
 def _occurrences(length: int):
     def run(batches):
         import pyarrow as pa
-        import xxhash
 
-        digest = xxhash.xxh64_intdigest
         for batch in sliced(batches):
             made: list = []
             for data, d1, d2, copies in zip(_unpack(batch), *(column(batch, c) for c in ("d1", "d2", "copies")), strict=True):
-                anchor, begin, end, again = contexts(data, length)
-                content = np.array([digest(data[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)], np.uint64).view("<i8")
+                anchor, begin, size, end, times = contexts(data, length)
+                content = _digests([data[a : a + n] for a, n in zip(begin.tolist(), size.tolist(), strict=True)])
                 fill = lambda v, n=len(begin): np.full(n, v, "<i8")
-                made.append((anchor, content, fill(d1), fill(d2), begin.astype("<i4"), end.astype("<i4"), fill(copies), again))
+                made.append((anchor, content, fill(d1), fill(d2), begin.astype("<i4"), size.astype("<i4"), end.astype("<i4"), times * copies, np.full(len(begin), copies == 1)))
                 if sum(len(m[0]) for m in made) >= 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made, strict=True)], names=OCCURRENCE)
                     made = []
@@ -112,46 +156,92 @@ def _occurrences(length: int):
     return run
 
 
-OCCURRENCE = ["anchor", "content", "d1", "d2", "begin", "end", "copies", "again"]
-OCCURRENCE_TYPE = "anchor bigint, content bigint, d1 bigint, d2 bigint, begin int, end int, copies bigint, again boolean"
+OCCURRENCE = ["anchor", "content", "d1", "d2", "begin", "size", "end", "copies", "alone"]
+OCCURRENCE_TYPE = "anchor bigint, content bigint, d1 bigint, d2 bigint, begin int, size int, end int, copies bigint, alone boolean"
+#: A string of a group g with its digest c; where it is one's only occurrence, the context (anchor, content) that it is
+#: part of, from ``shift`` on, and its anchor's place x.
+STRING = ["g", "c", "one", "anchor", "content", "shift", "x", "bytes"]
+STRING_TYPE = "g bigint, c bigint, one boolean, anchor bigint, content bigint, shift int, x int, bytes binary"
 
 
-def _extract(batches):
-    """A text's wanted contexts, as bytes."""
+def _strings(rows: list[tuple]):
     import pyarrow as pa
 
-    names = ["anchor", "content", "one", "large", "bytes"]
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
-    for batch in sliced(batches):
-        rows = []
-        for data, wanted in zip(_unpack(batch), column(batch, "wanted"), strict=True):
-            rows += [(w["anchor"], w["content"], w["one"], w["large"], data[w["begin"] : w["end"]]) for w in wanted]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=STRING)
+
+
+def _extract(length: int):
+    """A text's wanted contexts, as strings of their anchor's group."""
+
+    def run(batches):
+        gram = _gram(length)
+        for batch in sliced(batches):
+            rows = []
+            for data, wanted in zip(_unpack(batch), column(batch, "wanted"), strict=True):
+                for w in wanted:
+                    piece = data[w["begin"] : w["begin"] + w["size"]]
+                    # the anchor of all windows is the first of its kind from the last window's start on
+                    x = -1
+                    if w["large"]:
+                        at = len(piece) - length
+                        x = at + int(np.argmax(_grams(piece[at:], gram).view("<i8") == w["anchor"]))
+                    rows.append((w["anchor"], w["content"], w["one"], w["anchor"], w["content"], 0, x, piece))
+            yield _strings(rows)
+
+    return run
+
+
+def _split(length: int, width: int):
+    """Strings -> their windows whose anchor is 0 to width - 1, width to 2 width - 1, … bytes behind the start."""
+
+    def run(batches):
+        import xxhash
+
+        reach = length - _gram(length)
+        for batch in sliced(batches):
+            rows = []
+            for _, _, one, anchor, content, shift, x, piece in zip(*(column(batch, c) for c in STRING), strict=True):
+                last = len(piece) - length  # starts of windows: 0 to last, x - last to x bytes before the anchor
+                for near in range(max(0, x - last) // width * width, x + 1, width):
+                    far = min(near + width - 1, reach)
+                    low, high = max(0, x - far), min(last, x - near)
+                    core = piece[x - near : x - far + length]  # of all windows of the range
+                    part = piece[low : high + length]
+                    g = xxhash.xxh64_intdigest(core, near * 256 + width)
+                    rows.append((_signed(g), _signed(xxhash.xxh64_intdigest(part)), one, anchor, content, shift + low, x - low, part))
+            yield _strings(rows)
+
+    return run
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _merge(length: int):
-    """Contexts sorted by anchor -> those that occur once, with their repeated spans."""
+    """Strings sorted by group -> the spans, in their context, that are repeated in those that occur once."""
 
     def spans(rows: list[tuple]):
         import pyarrow as pa
 
-        starts = repeated_starts([r[3] for r in rows], length)
-        ends = np.cumsum([len(r[3]) + 1 for r in rows])
+        starts = repeated_starts([r[5] for r in rows], length)
+        ends = np.cumsum([len(r[5]) + 1 for r in rows])
         out = []
         for row, part, end in zip(rows, np.split(starts, np.searchsorted(starts, ends[:-1])), ends.tolist(), strict=True):
-            if row[2] and len(part):
-                out.append((row[0], row[1], covered(part - (end - len(row[3]) - 1), length).astype("<i4").tobytes()))
+            if row[1] and len(part):
+                out.append((row[2], row[3], (covered(part - (end - len(row[5]) - 1), length) + row[4]).astype("<i4").tobytes()))
         return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["anchor", "content", "spans"])
 
     def run(batches):
         held, size, last = [], 0, None
         for batch in sliced(batches):
-            for row in zip(*(column(batch, c) for c in ("anchor", "content", "one", "bytes")), strict=True):
+            for row in zip(*(column(batch, c) for c in ("g", "one", "anchor", "content", "shift", "bytes")), strict=True):
                 if size >= BATCH_BYTES and row[0] != last:
                     yield spans(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[5])
                 last = row[0]
         if held:
             yield spans(held)
@@ -159,55 +249,64 @@ def _merge(length: int):
     return run
 
 
-def _windows(length: int):
-    def run(batches):
-        import pyarrow as pa
-        import xxhash
+def _whole(batch):
+    """Strings that occur twice: all of each."""
+    return [[np.array([[s, s + len(x)]], "<i4").tobytes() for s, x in zip(column(batch, "shift"), column(batch, "bytes"), strict=True)]]
 
-        names = ["w1", "w2", "anchor", "content", "one", "start"]
-        for batch in batches:
-            for anchor, content, one, data in zip(*(column(batch, c) for c in ("anchor", "content", "one", "bytes")), strict=True):
-                n = len(data) - length + 1
-                w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[i : i + length]) for i in range(n)), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array(np.full(n, anchor)), pa.array(np.full(n, content)), pa.array(np.full(n, one)), pa.array(np.arange(n, dtype="<i4"))], names=names)
 
-    return run
+def _groups(each: DataFrame) -> DataFrame:
+    """g, large: the groups whose strings that occur once may share a window with others. each: g, times, size."""
+    groups = each.groupBy("g").agg(F.count("*").alias("n"), F.max((F.col("times") == 1).cast("int")).alias("some"), (F.sum("size") > GROUP_BYTES).alias("large"))
+    return groups.where("some = 1 and n > 1").select("g", "large")
 
 
-def _windows_to_spans(length: int):
-    def compute(batch):
-        return [[covered(np.sort(np.array(s, np.int64)), length).astype("<i4").tobytes() for s in column(batch, "starts")]]
+def _in_groups(strings: DataFrame, length: int) -> DataFrame:
+    """anchor, content, spans: what merging finds in groups that a task can hold."""
+    n = n_partitions(strings)
+    return strings.repartition(n, "g").sortWithinPartitions("g", "c").mapInArrow(_merge(length), "anchor bigint, content bigint, spans binary")
 
-    return compute
+
+def _narrowed(strings: DataFrame, length: int) -> list[DataFrame]:
+    """anchor, content, spans: of strings of large groups, split until a task can hold them."""
+    found = []
+    for width in WIDTHS:
+        parts = strings.mapInArrow(_split(length, width), STRING_TYPE)
+        times = F.sum(F.when(F.col("one"), 1).otherwise(2)).alias("times")
+        each = parts.groupBy("g", "c").agg(times, *[F.first(c).alias(c) for c in STRING[3:]])
+        each = cut(each.withColumn("size", F.length("bytes")).withColumn("one", F.col("times") == 1))
+        twice = cut(each.where("times > 1").select("g", "c"))
+        # the parts of a string that occurs in all texts are many: the table of two columns beside them lets the join split
+        found.append(with_columns(parts.where("one").join(twice, ["g", "c"]), "spans binary", _whole).select("anchor", "content", "spans"))
+        groups = cut(_groups(each))
+        in_groups = cut(each.join(groups, "g"))
+        found.append(_in_groups(in_groups.where("not large").select(*STRING), length))
+        strings = in_groups.where("large").select(*STRING)
+        if strings.isEmpty():
+            break
+    return found
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """texts (d1, d2, n, z, copies) and their spans (d1, d2, parts): parts are begin and spans of repeated contexts.
+    """texts (d1, d2, n, z, copies) and their spans (d1, d2, parts): parts are begin, end and spans of repeated contexts.
 
     Texts with copies have no spans: they are removed whole.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = cut(distinct_texts(docs, text, length))
     everywhere = texts.mapInArrow(_occurrences(length), OCCURRENCE_TYPE)
-    often = cut(everywhere.groupBy("anchor").agg((F.sum("copies") + F.max(F.col("again").cast("int"))).alias("times")).where("times > 1").select("anchor"))
+    often = cut(everywhere.groupBy("anchor").agg(F.sum("copies").alias("times")).where("times > 1").select("anchor"))
     occurrences = cut(everywhere.join(often, "anchor"))
-    each = cut(occurrences.groupBy("anchor", "content").agg(F.sum("copies").alias("times"), F.min(F.struct("d1", "d2", "begin", "end")).alias("at"), F.max("again").alias("again")))
-    size = F.sum(F.col("at.end") - F.col("at.begin"))
-    groups = each.groupBy("anchor").agg(F.count("*").alias("contents"), F.max((F.col("times") == 1).cast("int")).alias("some"), F.max("again").alias("again"), (size > GROUP_BYTES).alias("large"))
-    groups = groups.where("some = 1 and (contents > 1 or again)").select("anchor", "large")
-    wanted = each.join(groups, "anchor").select("at.d1", "at.d2", F.struct("anchor", "content", (F.col("times") == 1).alias("one"), "large", "at.begin", "at.end").alias("w"))
+    each = cut(occurrences.groupBy("anchor", "content").agg(F.sum("copies").alias("times"), F.min(F.struct("d1", "d2", "begin", "size")).alias("at")))
+    groups = _groups(each.select(F.col("anchor").alias("g"), "times", F.col("at.size").alias("size"))).withColumnRenamed("g", "anchor")
+    wanted = each.join(groups, "anchor").select("at.d1", "at.d2", F.struct("anchor", "content", (F.col("times") == 1).alias("one"), "large", "at.begin", "at.size").alias("w"))
     wanted = wanted.groupBy("d1", "d2").agg(F.collect_list("w").alias("wanted"))  # of one text: bounded by its length
-    taken = cut(texts.select("d1", "d2", "z").join(wanted, ["d1", "d2"]).select("z", "wanted").mapInArrow(_extract, "anchor bigint, content bigint, one boolean, large boolean, bytes binary"))
-    found = (
-        taken.where("not large").drop("large").repartition(n, "anchor").sortWithinPartitions("anchor", "content")
-        .mapInArrow(_merge(length), "anchor bigint, content bigint, spans binary")
-    )
-    windows = taken.where("large").mapInArrow(_windows(length), "w1 bigint, w2 bigint, anchor bigint, content bigint, one boolean, start int")
-    same = windows.groupBy("w1", "w2").agg(F.sum(F.when(F.col("one"), 1).otherwise(2)).alias("k")).where("k > 1")
-    starts = windows.where("one").join(same, ["w1", "w2"]).groupBy("anchor", "content").agg(F.collect_list("start").alias("starts"))
-    found = found.unionByName(with_columns(starts, "spans binary", _windows_to_spans(length)).drop("starts"))
+    taken = cut(texts.select("d1", "d2", "z").join(wanted, ["d1", "d2"]).select("z", "wanted").mapInArrow(_extract(length), STRING_TYPE))
+    found = _in_groups(taken.where("x < 0"), length)
+    large = taken.where("x >= 0")
+    if not large.isEmpty():
+        for more in _narrowed(large, length):
+            found = found.unionByName(more)
     whole = each.where("times > 1").select("anchor", "content", F.lit(None).cast("binary").alias("spans"))
-    spans = occurrences.where("copies = 1").join(found.unionByName(whole), ["anchor", "content"])
+    spans = occurrences.where("alone").join(found.unionByName(whole), ["anchor", "content"])
     parts = spans.groupBy("d1", "d2").agg(F.collect_list(F.struct("begin", "end", "spans")).alias("parts"))  # as above
     return texts, parts
 

@@ -76,6 +76,54 @@ def test_query_against_brute_force(spark, tmp_path, monkeypatch):
         assert got == brute_documents(rows, length)
 
 
+def test_contexts_hold_all_windows_once(monkeypatch):
+    from lociq.llm import suffix_dedup as sd
+
+    rng = random.Random(9)
+    word = lambda n: bytes(rng.choice(b"ab cd") for _ in range(n))
+    texts = [word(700), b"a" * 900, b"abc" * 300, (word(90) + word(30)) * 9, word(50) + b"-" * 500 + word(400) + b"-" * 300, b"".join(word(66) + bytes([i]) for i in range(9)) + b"xyz" * 120]
+    for piece in (1 << 20, 97):
+        monkeypatch.setattr(sd, "PIECE", piece)
+        for t in texts:
+            seen, anchors = [], {}
+            for anchor, begin, size, end, times in zip(*(x.tolist() for x in sd.contexts(t)), strict=True):
+                step = size - 199
+                assert end - begin == size + (times - 1) * step
+                for k in range(times):
+                    assert t[begin + k * step :][:size] == t[begin : begin + size]
+                    seen += range(begin + k * step, begin + (k + 1) * step)
+                for i in range(step):  # equal windows have equal anchors
+                    assert anchors.setdefault(t[begin + i : begin + i + 200], anchor) == anchor
+            assert seen == list(range(len(t) - 199))
+    assert max(len(x) for x in sd.contexts(b"a" * 50_000)) <= 50_000 // 97 + 2
+
+
+def test_large_groups_are_split(spark, tmp_path, monkeypatch):
+    """Many different contexts around one passage, long texts in pieces, runs of one letter of any length."""
+    from lociq.llm import suffix_dedup as sd
+
+    monkeypatch.setattr(sd, "GROUP_BYTES", 1000)
+    monkeypatch.setattr(sd, "PIECE", 500)
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passages = [text(n) for n in (70, 150, 199, 200, 260, 420)]
+    rows = [(i, text(rng.randrange(300)) + rng.choice(passages) + text(rng.randrange(300))) for i in range(150)]
+    rows += [(200 + i, text(20) + "-" * rng.randrange(150, 800) + text(rng.randrange(3))) for i in range(30)]
+    rows += [(300 + i, passages[5][: 30 * i] + "x" + passages[5][20 * i :] + "y" * (i % 3)) for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in sd.op3_suffix_dedup(spark, str(tmp_path)).collect()), key=str)
+    assert got == brute_documents(rows, 200)
+
+
+def test_very_long_texts(spark):
+    from lociq.llm import suffix_dedup as sd
+
+    long = "q" * 20_000_000
+    rows = [(1, long), (2, "a" * 150 + "q" * 250 + "b" * 120), (3, "".join(chr(97 + (i * i) % 23) + str(i) for i in range(30_000)))]
+    kept = {r.doc_id: r.text for r in sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {1: "", 2: "a" * 150 + "b" * 120, 3: rows[2][1]}
+
+
 def test_empty_table_and_cleaned_texts(spark, tmp_path):
     from lociq.llm import suffix_dedup as sd
 
