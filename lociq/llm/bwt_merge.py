@@ -8,14 +8,16 @@ their common prefix is h symbols long, so the runs without a border after ``leng
 suffixes with a common prefix of at least ``length``. No suffix is compared again after its shard was sorted.
 
 Runs of a single suffix are settled: no longer prefix can join them to another, nor can any longer suffix that passes
-through them; they leave the interleave. Two symbols are passed in each round.
+through them; they leave the interleave. Up to MOST symbols are passed in a round, as long as those that occur together
+can be numbered in 16 bits, which sort by counting.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-SHARD = 1 << 17
+SHARD = 1 << 15
+MOST, NARROW = 8, (1 << 16) - 1
 
 
 def shard_bwt(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,42 +74,47 @@ def repeated_starts(texts: list[bytes], length: int, shard: int = SHARD) -> np.n
     if not shards:
         return np.zeros(0, np.int64)
     suffix = np.concatenate([s for s, _, _ in shards])
-    bwt = np.concatenate([b for _, b, _ in shards])
+    symbol = np.concatenate([b for _, b, _ in shards])
     step = np.concatenate([lf for _, _, lf in shards]).astype(np.int32)
-    pair = bwt.astype(np.int64) * 257 + bwt[step]
-    pair = np.where((bwt > 0) & (bwt[step] > 0), pair, 0).astype(np.int64)
-    # 65,792 pairs: ranks of those that occur fit into 16 bits, which sort by counting
-    occurring = np.zeros(257 * 257, bool)
-    occurring[pair] = True
-    number = np.cumsum(occurring) - 1
-    narrow = np.uint16 if number[-1] < 1 << 16 else np.uint32
-    stop = number[0] if occurring[0] else -1
-    two = number[pair].astype(narrow)
-    step2 = step[step]
-    row, run = np.arange(len(bwt), dtype=np.int32), np.zeros(len(bwt), np.int32)
+    strides = [(1, symbol, step)]
+    while 2 * strides[-1][0] <= min(MOST, length):
+        k, symbol, step = strides[-1]
+        joined, distinct = _joined(symbol, step)
+        if distinct > NARROW:
+            break
+        strides.append((2 * k, joined, step[step]))
+    row, run = np.arange(len(suffix), dtype=np.int32), np.zeros(len(suffix), np.int32)
     passed = 0
     while passed < length and len(row):
-        single = length - passed == 1
-        symbol = bwt[row] if single else two[row]
-        going = symbol != (0 if single else stop)
+        k, symbols, step = next(x for x in reversed(strides) if x[0] <= length - passed)
+        symbol = symbols[row]
+        going = symbol != 0
         if not going.all():
             row, run, symbol = row[going], run[going], symbol[going]
         order = np.argsort(symbol, kind="stable")
-        symbol, run = symbol[order], run[order]
-        row = (step if single else step2)[row[order]]
-        passed += 1 if single else 2
+        symbol, run, row = symbol[order], run[order], step[row[order]]
+        passed += k
         border = np.ones(len(row) + 1, bool)
         if len(row):
             border[1:-1] = (symbol[1:] != symbol[:-1]) | (run[1:] != run[:-1])
-        if passed <= 32 or passed % 10 == 0 or passed >= length:
-            joined = ~(border[1:] & border[:-1])
-            row = row[joined]
-            run = np.cumsum(border[:-1], dtype=np.int32)[joined]
-        else:
-            run = np.cumsum(border[:-1], dtype=np.int32)
+        joined = ~(border[1:] & border[:-1])
+        run = np.cumsum(border[:-1], dtype=np.int32)
+        if 8 * np.count_nonzero(joined) < 7 * len(row) or passed >= length:
+            row, run = row[joined], run[joined]
     return np.sort(suffix[row])
 
 
+def _joined(symbol: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, int]:
+    """A number for the two symbols that are passed one after the other, 0 where a text's start is met, and how many
+    numbers there are."""
+    second = symbol[step]
+    code = symbol.astype(np.int64) << 32 | second
+    code[(symbol == 0) | (second == 0)] = 0
+    found, number = np.unique(code, return_inverse=True)
+    number += found[0] != 0
+    return number.astype(np.uint16 if len(found) <= NARROW else np.uint32), len(found)
+
+
 def covered(starts: np.ndarray, length: int) -> np.ndarray:
     """Sorted starts of strings of ``length`` -> (n, 2) maximal covered [begin, end); strings that touch are joined."""
     if not len(starts):

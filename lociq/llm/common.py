@@ -2,42 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.graph import settle, unsettle
+
+#: Bytes of an Arrow batch: texts are long, and both sides of a task hold several batches.
+BATCH = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none, as in tests."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = tempfile.mkdtemp(prefix="lociq-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session hold BATCH bytes at most; a lower limit of its own stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH:
+        spark.conf.set(name, BATCH)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: a table in the shared folder that survives lost executors, read again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    small_batches(df.sparkSession)
+    return settle(df)
 
 
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of a table that ``cut`` wrote and no plan reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for d in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/cut-" in d:
-            p = jvm.org.apache.hadoop.fs.Path(d)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    unsettle(df)
 
 
 def n_partitions(df: DataFrame) -> int:
@@ -53,6 +46,7 @@ def with_columns(df: DataFrame, new: str, compute) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    small_batches(df.sparkSession)
     fields = StructType.fromDDL(new)
     names = {f.name.lower() for f in fields}
     kept = [f for f in df.schema if f.name.lower() not in names]

@@ -1,49 +1,15 @@
-"""Connected components by alternating large and small stars; links stay distributed throughout."""
+"""Connected components of links by alternating large and small stars; links stay distributed throughout.
+
+Defined cases: links of a node to itself count for nothing, repeated links count once, an empty table has no nodes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import cut, drop_cut
-
-
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Larger neighbours of each node go to its smallest neighbour."""
-    both = _both(edges)
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """A node and its smaller neighbours go to the smallest of these. Edges have a < b."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    moved = edges.join(least, "b")
-    return (
-        moved.select(F.col("m").alias("x"), F.col("a").alias("y"))
-        .union(least.select(F.col("m").alias("x"), F.col("b").alias("y")))
-        .where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    )
+from ..operators import graph
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges (a, b long) -> (node, root): root is the least node that is reachable. Only nodes with links are listed.
-
-    Each round ends in a table in the shared folder, so a lost executor costs one round at most. The least
-    neighbour of a node is pre-aggregated before it is joined, so hubs don't gather in one task.
-    """
-    now = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    sign = None
-    while True:
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if new == sign or not new[0]:
-            break
-        sign = new
-        after = cut(_small_star(_large_star(now)))
-        drop_cut(now)
-        now = after
-    return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    """edges (a, b long) -> (node, root): root is the least node that is reachable. Only nodes below it are listed."""
+    return graph.components(edges).where("node <> root")

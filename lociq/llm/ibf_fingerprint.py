@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import sliced, small_batches
 
 PARTS = 3
 CELLS = 18
@@ -296,6 +296,7 @@ def fingerprint_versions(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     Texts are shuffled once, into groups of neighbouring ids. What the driver sees is a few numbers a group: the groups'
     cuts (quantiles of the ids) and first documents; of each group the first document alone travels twice.
     """
+    small_batches(docs.sparkSession)
     hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), hashed.alias("h"), F.col(text).alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

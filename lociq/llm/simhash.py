@@ -237,6 +237,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     roots = near_roots(texts, ids).withColumnRenamed("node", "__n")
     least = ids.join(roots, ids["node"] == roots["__n"], "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("m"))
     least = least.select(F.col("m.doc_id").alias("__id"), F.col("m.h").alias("__lh"))
-    rows = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = rows.join(least, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__lh")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__h"]).select(*docs.columns)
+    # 128 bits of a row's id and text, without nulls: the join and the removal of repeated rows share one shuffle
+    marks = lambda i, h: [h, F.xxhash64(F.lit(5), i.isNull(), F.coalesce(i, F.lit(0)), h)]
+    h, mark = marks(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = docs.withColumns({"__h": h, "__m": mark})
+    h, mark = marks(F.col("__id"), F.col("__lh"))
+    kept = rows.join(least.select(h.alias("__h"), mark.alias("__m")), ["__h", "__m"], "left_semi")
+    return kept.dropDuplicates(["__h", "__m"]).select(*docs.columns)

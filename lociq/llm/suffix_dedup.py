@@ -37,7 +37,7 @@ from .common import column, cut, n_partitions, sliced, with_columns
 LENGTH = 200
 GRAM = 64
 GROUP_BYTES = 2 << 20
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 17
 #: Windows in a range of a group that is split, by round.
 WIDTHS = (18, 3, 1)
 #: Windows of a text that are looked at together.
@@ -296,7 +296,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     often = cut(everywhere.groupBy("anchor").agg(F.sum("copies").alias("times")).where("times > 1").select("anchor"))
     occurrences = cut(everywhere.join(often, "anchor"))
     each = cut(occurrences.groupBy("anchor", "content").agg(F.sum("copies").alias("times"), F.min(F.struct("d1", "d2", "begin", "size")).alias("at")))
-    groups = _groups(each.select(F.col("anchor").alias("g"), "times", F.col("at.size").alias("size"))).withColumnRenamed("g", "anchor")
+    groups = cut(_groups(each.select(F.col("anchor").alias("g"), "times", F.col("at.size").alias("size"))).withColumnRenamed("g", "anchor"))
     wanted = each.join(groups, "anchor").select("at.d1", "at.d2", F.struct("anchor", "content", (F.col("times") == 1).alias("one"), "large", "at.begin", "at.size").alias("w"))
     wanted = wanted.groupBy("d1", "d2").agg(F.collect_list("w").alias("wanted"))  # of one text: bounded by its length
     taken = cut(texts.select("d1", "d2", "z").join(wanted, ["d1", "d2"]).select("z", "wanted").mapInArrow(_extract(length), STRING_TYPE))
