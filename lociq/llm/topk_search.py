@@ -1,18 +1,20 @@
 """Exact top-k inner-product search by a three-phase uniform threshold.
 
 The components of a vector are cut into SLICES slices; a slice is a local list of (query, vector) scores, and a
-pair's score is the sum of its local scores. Phase 1 gathers the k best entries of each local list, block by block,
-with their exact scores; the k-th best of them is a safe cutoff for the query. Phase 2 hands each query block its
-cutoffs and collects every entry that has a local score of at least cutoff / SLICES: a pair whose local scores all
-lie below that can't reach the cutoff. Phase 3 resolves the remaining entries' scores exactly, and the best k of
-each block meet in a ranked window whose limit is applied before the shuffle.
+pair's score is the sum of its local scores. Phase 1 gathers the k best entries of each local list of one candidate
+block, whose scores alone are then summed; the k-th best of them is a safe cutoff for the query. Phase 2 hands each query
+block its cutoffs and collects every entry of all blocks that has a local score of at least cutoff / SLICES: a pair whose
+local scores all lie below that can't reach the cutoff. Phase 3 resolves the collected entries' scores exactly, and the
+best k of each block meet in a ranked window whose limit is applied before the shuffle. So the local scores of all pairs
+are computed once, and those of one block twice.
 
 The stated query set meets all rows in blocks of at most some ROWS rows of either side, dealt by block ids, so a
 task holds two blocks and nothing is broadcast.
 
 Defined cases: vectors that are null, or hold null or non-finite components, and rows with a null id take no part.
 Shorter vectors count as ending in zeros. Repeated rows are rows of their own: a query's own row alone is left out.
-Ties go to the smaller id. Fewer candidates than k: all. Components and scores saturate at the limits of long.
+Ties go to the smaller id. Fewer candidates than k: all. Components and scores saturate at the limits of long. Vectors
+of any length are taken whole; other columns are dropped, so none can clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SLICES = 4
-ROWS = 4096
+#: Rows of a block: of candidates, and of queries, for each of whose blocks the candidates travel once.
+ROWS, QUERY_ROWS = 4096, 32_768
 STEP = 256
 
 
@@ -65,15 +68,14 @@ def _pack(dims: int, small: bool):
 PACKED = "block bigint, ids binary, copies binary, v binary"
 
 
-def _blocks(rows: DataFrame, count: int, dims: int, small: bool) -> DataFrame:
-    n = -(-count // ROWS)
+def _blocks(rows: DataFrame, n: int, dims: int, small: bool) -> DataFrame:
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "copy"), F.lit(n)))
     return dealt.groupBy("block").applyInArrow(_pack(dims, small), PACKED)
 
 
 def _pairs(queries: DataFrame, nq: int, candidates: DataFrame, nc: int, extra: str) -> DataFrame:
-    """Each query block with each candidate block, dealt by the ids of both."""
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(-(-n // ROWS) - 1).cast("bigint")))
+    """Each of the nq query blocks with each of the nc candidate blocks, dealt by the ids of both."""
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     block = F.col("block")
     q = queries.select(F.lit(True).alias("query"), block.alias("qb"), each(nc).alias("cb"), "ids", "copies", "v", extra)
     c = candidates.select(F.lit(False).alias("query"), each(nq).alias("qb"), block.alias("cb"), "ids", "copies", "v", F.lit(None).cast("binary").alias(extra))
@@ -117,15 +119,14 @@ def _phase1(k: int, dims: int, small: bool, dtype):
 
         out: list = [[], [], []]
         for _, qid, qcopy, _, _, local, own in _local_scores(table, dims, small, dtype):
-            total = sum(local[1:], local[0])
-            n = total.shape[1]
-            seen = np.zeros(total.shape, bool)
+            n = own.shape[1]
+            seen = np.zeros(own.shape, bool)
             for s in local:
                 top = np.argpartition(s, n - min(k, n), axis=1)[:, n - min(k, n) :] if dtype is not object else np.argsort(-s, axis=1)[:, :k]
                 np.put_along_axis(seen, top, True, axis=1)
             seen &= ~own
             query, at = np.nonzero(seen)
-            score = total[query, at]
+            score = sum((s[query, at] for s in local[1:]), local[0][query, at])
             kept = _best(query, score, at, k)
             for o, x in zip(out, (qid[query[kept]], qcopy[query[kept]], _to_long(score[kept])), strict=True):
                 o.append(x)
@@ -171,12 +172,13 @@ def top_k(rows: DataFrame, is_query, k: int = 20) -> DataFrame:
         return rows.sparkSession.createDataFrame([], empty)
     dims, most = max(m["d"], 1), max(m["a"] or 0, -(m["least"] or 0))
     small, dtype = most < 1 << 15, _dtype(most, m["d"])
-    candidates = cut(_blocks(rows, m["n"], dims, small))
-    queries = cut(_blocks(rows.where(is_query), m["q"], dims, small))
+    nq, nc = -(-m["q"] // QUERY_ROWS), -(-m["n"] // ROWS)
+    candidates = cut(_blocks(rows, nc, dims, small))
+    queries = cut(_blocks(rows.where(is_query), nq, dims, small))
     best_first = W.partitionBy("id", "copy").orderBy(F.desc("score"))
-    seeds = _pairs(queries.withColumn("cutoffs", F.lit(None).cast("binary")), m["q"], candidates, m["n"], "cutoffs").applyInArrow(_phase1(k, dims, small, dtype), "id bigint, copy bigint, score bigint")
+    seeds = _pairs(queries.withColumn("cutoffs", F.lit(None).cast("binary")), nq, candidates.where("block = 0"), 1, "cutoffs").applyInArrow(_phase1(k, dims, small, dtype), "id bigint, copy bigint, score bigint")
     cutoffs = seeds.withColumn("r", F.row_number().over(best_first)).where(F.col("r") <= k).where(F.col("r") == k)
-    cutoffs = cutoffs.withColumn("block", F.pmod(F.xxhash64("id", F.col("copy").cast("int")), F.lit(-(-m["q"] // ROWS))))
+    cutoffs = cutoffs.withColumn("block", F.pmod(F.xxhash64("id", F.col("copy").cast("int")), F.lit(nq)))
 
     def pack(table):
         import pyarrow as pa
@@ -186,7 +188,7 @@ def top_k(rows: DataFrame, is_query, k: int = 20) -> DataFrame:
 
     handed = cutoffs.groupBy("block").applyInArrow(pack, "b bigint, cutoffs binary")
     queries = cut(queries.join(handed, queries["block"] == handed["b"], "left").drop("b"))
-    found = _pairs(queries, m["q"], candidates, m["n"], "cutoffs").applyInArrow(_phase3(k, dims, small, dtype), "id bigint, copy bigint, vec_id bigint, score bigint")
+    found = _pairs(queries, nq, candidates, nc, "cutoffs").applyInArrow(_phase3(k, dims, small, dtype), "id bigint, copy bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(W.partitionBy("id", "copy").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("id").alias("query_id"), F.col("copy").alias("query_copy"), "rank", "vec_id", "score")
 
