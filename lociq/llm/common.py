@@ -63,10 +63,24 @@ def with_columns(df: DataFrame, new: str, compute) -> DataFrame:
 
 
 def sliced(batches, rows: int = 512):
-    """The batches in pieces of some rows, so that what Python holds of long texts at once stays small."""
+    """The batches in pieces of some rows, so that what Python holds of long texts at once stays small. Behind the last,
+    what the task doesn't use any more goes back to the system: workers live on, and share an executor's memory."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    release()
+
+
+def release() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it has
+        pass
 
 
 def column(batch, name: str) -> list:

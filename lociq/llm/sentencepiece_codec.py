@@ -29,7 +29,7 @@ from .common import column, with_columns
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: A worker remembers the ids of up to twice as many units: a new generation begins when one is full.
-CACHE_UNITS = 150_000
+CACHE_UNITS = 64_000
 
 
 class CharMap:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, cut, drop_cut, with_columns
+from .common import column, cut, release, with_columns
 from .components import components
 from .near_copies import near_roots, with_nodes
 
@@ -186,6 +186,7 @@ def _links(radius: int):
                     yield out
         if rows and (out := flush(True)) is not None:
             yield out
+        release()
 
     return run
 
