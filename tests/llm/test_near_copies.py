@@ -79,3 +79,22 @@ def test_near_copies_on_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == brute_kept(rows)
+
+
+def test_large_groups_of_near_copies_take_rounds(spark, monkeypatch):
+    """Chains and clouds of copies, many of which are near to others but not to the least of a key."""
+    monkeypatch.setattr(nc, "PARTNERS", 1)
+    monkeypatch.setattr(nc, "CHUNK", 16)
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    base = [rng.choice(words) for _ in range(120)]
+    rows = []
+    for i in range(90):
+        t = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        rows.append((i, " ".join(t)))
+    for i in range(40):
+        rows.append((100 + i, " ".join([*base[:30], *[rng.choice(words) for _ in range(25)]])))
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == brute_kept(rows)
