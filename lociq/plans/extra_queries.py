@@ -142,7 +142,7 @@ def finder_text(spark, sf_dir):
 @query("w06_letter_collisions", """
 WITH x AS (SELECT s_nationkey AS n, s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 0 WHEN s_suppkey % 3 = 1 THEN 1 END AS letter FROM supplier), k AS (SELECT *, letter IS NOT NULL AND row_number() OVER (PARTITION BY n, letter ORDER BY id) = 1 AS keeps FROM x),
 u AS (SELECT n, list(letter) AS used FROM k WHERE keeps GROUP BY n), r AS (SELECT k.*, row_number() OVER (PARTITION BY k.n ORDER BY letter IS NULL, id) AS r FROM k WHERE NOT keeps)
-SELECT n, id, letter AS place FROM k WHERE keeps UNION ALL SELECT r.n, id, list_filter(range(1000), lambda i: NOT list_contains(coalesce(used, []), i))[r] FROM r LEFT JOIN u USING (n)""")
+SELECT n, id, letter AS place FROM k WHERE keeps UNION ALL SELECT r.n, id, list_filter(range(r + len(coalesce(used, []))), lambda i: NOT list_contains(coalesce(used, []), i))[r] FROM r LEFT JOIN u USING (n)""")
 def letter_collisions(spark, sf_dir):
     """The first of a letter keeps it; collisions, then those without one, take the next free letters."""
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
@@ -150,7 +150,9 @@ def letter_collisions(spark, sf_dir):
     k = x.withColumn("keeps", F.col("letter").isNotNull() & (F.row_number().over(W.partitionBy("n", "letter").orderBy("id")) == 1))
     used = k.where("keeps").groupBy("n").agg(F.collect_set("letter").alias("used"))  # 26 letters at most
     rest = k.where("not keeps").withColumn("r", F.row_number().over(W.partitionBy("n").orderBy(F.col("letter").isNull(), "id"))).join(used, "n", "left")
-    free = F.element_at(F.filter(F.sequence(F.lit(0), F.lit(999)), lambda i: ~F.array_contains(F.coalesce("used", F.array().cast("array<int>")), i)), F.col("r"))
+    taken = F.coalesce("used", F.array().cast("array<int>"))
+    every = F.sequence(F.lit(0), F.col("r") + F.size(taken))  # holds r free ones at least
+    free = F.element_at(F.filter(every, lambda i: ~F.array_contains(taken, i)), F.col("r"))
     return k.where("keeps").select("n", "id", F.col("letter").cast("bigint").alias("place")).unionByName(rest.select("n", "id", free.cast("bigint").alias("place")))
 
 
