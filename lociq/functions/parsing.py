@@ -61,6 +61,11 @@ def natural_key(name: Column, width: int = 20) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1)), lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, width, "0")).otherwise(p)), "")
 
 
+def code_point(number: Column) -> Column:
+    """The character of a code point, also beyond 255, where ``char`` would begin anew."""
+    return F.decode(F.unhex(F.lpad(F.hex(number.cast("bigint")), 8, "0")), "UTF-32")
+
+
 def letters(index: Column) -> Column:
     """1 -> A, 26 -> Z, 27 -> AA, …, for any long; null below 1."""
 
