@@ -36,20 +36,43 @@ def fisher(df: DataFrame, a: str, b: str, c: str, d: str, out: str = "p") -> Dat
     return df.withColumn(out, test(a, b, c, d))
 
 
+#: Stretches of p that the scan over ranks is split into.
+P_BINS = 4096
+
+
 def benjamini_hochberg(df: DataFrame, p: str = "p", by: list[str] | None = None, out: str = "q") -> DataFrame:
     """min over larger p of p * n / rank, at most 1. Equal p share a row in the scan, which keeps it short.
 
-    Without ``by`` all tests are one family: the scan then runs over distinct p alone, pre-aggregated by value.
+    Without ``by`` all tests are one family. The scan is split by stretches of p: what one needs of the others is the
+    number of tests below it and the least value above. Tests without a p count, rank last and have 1.
     """
     keys = by or []
-    counts = df.groupBy(*keys, p).agg(F.count("*").alias("__c"))
-    up = W.partitionBy(*keys).orderBy(p)
-    ranked = counts.withColumns({
-        "__rank": F.sum("__c").over(up.rowsBetween(W.unboundedPreceding, 0)), "__n": F.sum("__c").over(W.partitionBy(*keys)),
-    })
-    raw = F.col(p) * F.col("__n") / F.col("__rank")
-    q = F.least(F.min(raw).over(up.rowsBetween(0, W.unboundedFollowing)), F.lit(1.0))
-    return df.join(ranked.withColumn(out, q).drop("__c", "__rank", "__n"), [*keys, p])
+    value = F.col(p).cast("double")
+    place = F.when(value.isNull(), F.lit(1 << 62)).when(F.isnan(value), F.lit((1 << 62) - 1)).otherwise(F.floor(value * P_BINS))
+    counts = df.groupBy(*keys, p).agg(F.count("*").alias("__c")).withColumn("__bin", place)
+    all_, one = W.partitionBy(*keys), W.partitionBy(*keys, "__bin")
+    so_far, before = (W.unboundedPreceding, 0), (W.unboundedPreceding, -1)
+    below = counts.groupBy(*keys, "__bin").agg(F.sum("__c").alias("__in")).select(
+        *keys, "__bin", F.coalesce(F.sum("__in").over(all_.orderBy("__bin").rowsBetween(*before)), F.lit(0)).alias("__below"), F.sum("__in").over(all_).alias("__n"),
+    )
+    rank = F.col("__below") + F.sum("__c").over(one.orderBy(F.asc_nulls_last(p)).rowsBetween(*so_far))
+    ranked = _null_safe(counts, below, [*keys, "__bin"]).withColumn("__raw", F.col(p) * F.col("__n") / rank)
+    above = ranked.groupBy(*keys, "__bin").agg(F.min("__raw").alias("__in")).select(
+        *keys, "__bin", F.min("__in").over(all_.orderBy(F.desc("__bin")).rowsBetween(*before)).alias("__above"),
+    )
+    # down from the largest: a frame that ends at the last row is scanned anew for each of its rows
+    least = F.min("__raw").over(one.orderBy(F.desc_nulls_first(p)).rowsBetween(*so_far))
+    q = _null_safe(ranked, above, [*keys, "__bin"]).select(*keys, p, F.least(least, "__above", F.lit(1.0)).alias(out))
+    return _null_safe(df, q, [*keys, p])
+
+
+def _null_safe(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join in which keys that are null are equal."""
+    right = other.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return df.join(right, on).drop(*[f"__r_{k}" for k in keys])
 
 
 def _beta_tail(a: float, b: float, x: float) -> float:
