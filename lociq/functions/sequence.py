@@ -21,12 +21,25 @@ def canonical(kmer: Column) -> Column:
     return F.least(kmer, reverse_complement(kmer))
 
 
+#: Letters that a batch of k-mers is counted from: some dozen arrays of them are held at once.
+PIECE = 1 << 19
+
+
+def counted_kmers(df: DataFrame, key: str, seq: str, k: int, canonical: bool = False) -> DataFrame:
+    """key, kmer, n, counted in pieces: a key and k-mer can have several rows. As ``kmer_counts``, which adds them up."""
+    return _counted(df, key, seq, k, canonical)
+
+
 def kmer_counts(df: DataFrame, key: str, seq: str, k: int, canonical: bool = False) -> DataFrame:
     """key, kmer, n: how often each string of k letters A, C, G, T occurs in a key's sequences; k from 1 to 31.
 
     Strings with another letter, or over two sequences, don't count. canonical: a string counts with its reverse
     complement, under the lesser of both. Letters are numbers of two bits, counted in each batch before the shuffle.
     """
+    return _counted(df, key, seq, k, canonical).groupBy(key, "kmer").agg(F.sum("n").alias("n"))
+
+
+def _counted(df: DataFrame, key: str, seq: str, k: int, canonical: bool) -> DataFrame:
     if not 1 <= k <= 31:
         raise ValueError("k must be from 1 to 31")
     base = np.full(256, 4, np.uint8)
@@ -59,7 +72,7 @@ def kmer_counts(df: DataFrame, key: str, seq: str, k: int, canonical: bool = Fal
                     raw = (texts[i].as_py() or "").encode("ascii", "replace")
                     held.append((i, raw))
                     size += len(raw) + 1
-                if held and (size >= 1 << 22 or i == batch.num_rows):
+                if held and (size >= PIECE or i == batch.num_rows):
                     letters = base[np.frombuffer(b"\n".join(r for _, r in held) + b"\n", np.uint8)]
                     # equal keys of a piece are counted together
                     group = pd.factorize(pd.Series([keys[j].as_py() for j, _ in held]), use_na_sentinel=False)[0]
@@ -73,7 +86,7 @@ def kmer_counts(df: DataFrame, key: str, seq: str, k: int, canonical: bool = Fal
                     held, size = [], 0
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, seq).mapInArrow(run, f"{key} {kind}, kmer string, n bigint").groupBy(key, "kmer").agg(F.sum("n").alias("n"))
+    return df.select(key, seq).mapInArrow(run, f"{key} {kind}, kmer string, n bigint")
 
 
 def acgt_bp(seq: Column) -> Column:
