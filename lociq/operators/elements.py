@@ -18,65 +18,128 @@ from .interval import islands, overlap_join
 RATE_CAP = 2.5
 
 
+#: Pairs of calls that are compared at once.
+PAIRS = 1 << 20
+
+
+def _meeting(low: np.ndarray, high: np.ndarray):
+    """(i, j) of all pairs whose reaches [low, high] meet, each once, in pieces; rows in any order."""
+    order = np.argsort(low, kind="stable")
+    low, high = low[order], high[order]
+    n = np.maximum(np.searchsorted(low, high, side="right") - np.arange(len(low)) - 1, 0)
+    total, first = np.cumsum(n), 0
+    while first < len(n):
+        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + PAIRS, side="right")))
+        for at in range(0, int(n[first]), PAIRS) if last == first + 1 else [0]:  # one call may meet more than a piece holds
+            m = n[first:last] if last > first + 1 else np.array([min(PAIRS, int(n[first]) - at)], np.int64) if n[first] else n[first:last]
+            x = np.repeat(np.arange(first, last), m)
+            y = np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m) + x + 1 + at
+            if len(x):
+                yield order[x], order[y]
+        first = last
+
+
+def _groups(n: int, links) -> np.ndarray:
+    """The least row that each is linked with; links: pieces (i, j)."""
+    root = np.arange(n)
+    for i, j in links:
+        while True:
+            a, b = root[i], root[j]
+            apart = a != b
+            if not apart.any():
+                break
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while (root[root] != root).any():
+                root = root[root]
+    return root
+
+
 class Cluster:
-    """Calls that overlap, as arrays; relations are square matrices, rows in the order given."""
+    """Calls that overlap, as arrays. Relations are looked up for pairs that meet, a piece at a time."""
 
     def __init__(self, rows: pd.DataFrame) -> None:
         self.key = rows["key"].to_numpy(object)
         self.start, self.end = rows["start1"].to_numpy("i8"), rows["end1"].to_numpy("i8")
         self.aln, self.p = rows["aln"].to_numpy("f8"), rows["p"].to_numpy("f8")
         self.tsd = rows["tsd"].map(bool).to_numpy() & rows["tsd"].notna().to_numpy()
-        l_end, r_start = rows["l_end"].to_numpy("f8"), rows["r_start"].to_numpy("f8")  # nan: not known
-        length = self.end - self.start
-        shared = np.zeros((len(rows), len(rows)), bool)
-        for s, t in ((self.start, l_end), (r_start, self.end)):
-            for u, v in ((self.start, l_end), (r_start, self.end)):
-                shared |= (s[:, None] <= v[None]) & (u[None] <= t[:, None])
-        known = ~(np.isnan(l_end) | np.isnan(r_start))
-        self.shared = shared & known[:, None] & known[None]
-        #: row inside column, strictly shorter, without a repeat in common
-        self.inside = (length[:, None] < length[None]) & (self.start[None] <= self.start[:, None]) & (self.end[:, None] <= self.end[None]) & ~self.shared
+        self.l_end, self.r_start = rows["l_end"].to_numpy("f8"), rows["r_start"].to_numpy("f8")  # nan: not known
+        self.known = ~(np.isnan(self.l_end) | np.isnan(self.r_start))
+        self.low, self.high = np.fmin(self.start, self.r_start), np.fmax(self.end, self.l_end)
+
+    def shared(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """A repeat in common."""
+        out = np.zeros(len(i), bool)
+        ends = ((self.start, self.l_end), (self.r_start, self.end))
+        for s, t in ends:
+            for u, v in ends:
+                out |= (s[i] <= v[j]) & (u[j] <= t[i])
+        return out & self.known[i] & self.known[j]
+
+    def inside(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """i inside j, strictly shorter; without a repeat in common is for the caller."""
+        return (self.end[i] - self.start[i] < self.end[j] - self.start[j]) & (self.start[j] <= self.start[i]) & (self.end[i] <= self.end[j])
+
+    def nested(self, among: np.ndarray):
+        """Pieces (inner, outer) of the rows among, which have no repeat in common."""
+        for i, j in _meeting(self.low[among], self.high[among]):
+            i, j = among[i], among[j]
+            a, b = self.inside(i, j), self.inside(j, i)
+            inner, outer = np.concatenate((i[a], j[b])), np.concatenate((j[a], i[b]))
+            free = ~self.shared(inner, outer)
+            yield inner[free], outer[free]
 
     def best(self, at: np.ndarray) -> int:
         """That with most matching bases, but the closest one where its distance per aligned base is far less."""
         top = at[np.argmax(self.aln[at] * (1.0 - self.p[at]))]
         near = at[np.lexsort((-self.aln[at], self.p[at]))[0]]
-        rate = np.maximum(self.p, 1e-10) / np.maximum(self.aln, 1)
-        return int(near if rate[top] > RATE_CAP * rate[near] else top)
+        rate = lambda i: max(self.p[i], 1e-10) / max(self.aln[i], 1)
+        return int(near if rate(top) > RATE_CAP * rate(near) else top)
 
     def survivors(self) -> list[tuple[int, str]]:
         """(row, its nestings): with a duplication before without, nests stay, one of each group with common repeats."""
-        nested = self.inside | self.inside.T
-        rivals = ~nested & self.tsd[None]
-        left = np.flatnonzero(self.tsd | ~rivals.any(axis=1))
+        every = np.arange(len(self.key))
+        # rivals: with a duplication and not nested with the row
+        rivals = np.full(len(every), int(self.tsd.sum()))
+        if self.tsd.any() and not self.tsd.all():
+            for i, j in self.nested(every):
+                np.subtract.at(rivals, i, self.tsd[j].astype(int))
+                np.subtract.at(rivals, j, self.tsd[i].astype(int))
+        left = np.flatnonzero(self.tsd | (rivals == 0))
         if len(left) == 1:
             return [(int(left[0]), ".")]
-        among = nested[np.ix_(left, left)].any(axis=1)
-        nests, rest = left[among], left[~among]
-        group = np.arange(len(nests))
-        linked = self.shared[np.ix_(nests, nests)] | np.eye(len(nests), dtype=bool)
-        while len(nests) and (new := np.where(linked, group[None], len(nests)).min(axis=1)).tolist() != group.tolist():
-            group = new
-        kept = [self.best(nests[group == g]) for g in np.unique(group)]
-        out = []
-        for i in kept:
-            other = [j for j in left if j in kept and nested[i, j]]
-            out.append((i, ";".join(f"{'nest-inner' if self.inside[i, j] else 'nest-outer'}:{self.key[j]}" for j in other) or "."))
+        among = np.zeros(len(every), bool)
+        for i, j in self.nested(left):
+            among[i] = among[j] = True
+        nests, rest = left[among[left]], left[~among[left]]
+        pieces = ((i, j) for i, j in _meeting(self.low[nests], self.high[nests]))
+        group = _groups(len(nests), ((i[s], j[s]) for i, j in pieces if (s := self.shared(nests[i], nests[j])).any()))
+        order = np.argsort(group, kind="stable")
+        starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+        kept = [self.best(nests[g]) for g in np.split(order, starts[1:])] if len(nests) else []
+        names: dict[int, list[tuple[int, str]]] = {i: [] for i in kept}
+        for inner, outer in self.nested(np.sort(np.array(kept, np.int64))) if kept else ():
+            for i, j in zip(inner.tolist(), outer.tolist(), strict=True):
+                names[i].append((j, f"nest-inner:{self.key[j]}"))
+                names[j].append((i, f"nest-outer:{self.key[i]}"))
+        out = [(i, ";".join(n for _, n in sorted(names[i])) or ".") for i in kept]
         return out + ([(self.best(rest), ".")] if len(rest) else [])
 
 
 def _clusters(start: np.ndarray, end: np.ndarray, threshold: float) -> list[np.ndarray]:
     """Rows in order of (start, end): a row joins the cluster before it where it overlaps a member by the threshold."""
+    latest = np.full(len(start), -1)  # the last row before that it overlaps so
+    for i, j in _meeting(start, end):
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        both = np.minimum(end[i], end[j]) - np.maximum(start[i], start[j]) + 1
+        shorter = np.maximum(np.minimum(end[i] - start[i], end[j] - start[j]) + 1, 1)
+        near = np.maximum(both, 0) / shorter >= threshold
+        np.maximum.at(latest, j[near], i[near])
     out, first = [], 0
-    for i in range(1, len(start) + 1):
-        if i < len(start):
-            s, e = start[first:i], end[first:i]
-            both = np.minimum(end[i], e) - np.maximum(start[i], s) + 1
-            shorter = np.maximum(np.minimum(end[i] - start[i], e - s) + 1, 1)
-            if (np.maximum(both, 0) / shorter >= threshold).any():
-                continue
-        out.append(np.arange(first, i))
-        first = i
+    for i, at in enumerate([*latest[1:].tolist(), -1], 1):
+        if at < first:
+            out.append(np.arange(first, i))
+            first = i
     return out
 
 

@@ -1,10 +1,13 @@
 """What showed on larger tables and odd rows: results against SQL or brute force, and plans that grow no further."""
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from lociq.functions import sequence, stats
-from lociq.operators import relational
+from lociq.operators import elements, relational
+from lociq.plans import more_queries
 from lociq.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -69,3 +72,71 @@ def test_strand_chains_of_any_length(spark):
         at = at if i % 3 else "-+"[at == "-"]
         want[i] = at
     assert {r.id: r.strand for r in relational.propagate_strand(df, links).collect()} == want
+
+
+def _calls(n, seed, reach=3000):
+    rng = np.random.default_rng(seed)
+    start = rng.integers(1, reach, n)
+    size = rng.integers(50, 900, n)
+    arm = size // rng.integers(3, 12, n)
+    return pd.DataFrame({"key": [f"k{i}" for i in range(n)], "seqid": "c", "start1": start, "end1": start + size, "l_end": np.where(rng.random(n) < 0.9, start + arm, np.nan), "r_start": start + size - arm, "aln": rng.integers(50, 500, n), "p": rng.random(n) / 10, "tsd": [["x", None, ""][i] for i in rng.integers(0, 3, n)]})
+
+
+def brute_survivors(rows):
+    """The relations as whole matrices."""
+    c = elements.Cluster(rows)
+    i, j = (x.ravel() for x in np.indices((len(rows), len(rows))))
+    shared = c.shared(i, j).reshape(len(rows), -1)
+    inside = c.inside(i, j).reshape(len(rows), -1) & ~shared
+    nested = inside | inside.T
+    left = np.flatnonzero(c.tsd | ~(~nested & c.tsd[None]).any(axis=1))
+    if len(left) == 1:
+        return [(int(left[0]), ".")]
+    among = nested[np.ix_(left, left)].any(axis=1)
+    group = {i: i for i in left[among]}
+    for _ in range(len(group)):
+        for i in group:
+            group[i] = min(group[j] for j in group if shared[i, j] or i == j)
+    kept = [c.best(np.array([i for i in group if group[i] == g])) for g in sorted(set(group.values()))]
+    names = [";".join(f"{'nest-inner' if inside[i, j] else 'nest-outer'}:{c.key[j]}" for j in left if j in kept and nested[i, j]) or "." for i in kept]
+    return [*zip(kept, names, strict=True)] + ([(c.best(left[~among]), ".")] if not among.all() else [])
+
+
+def test_clusters_without_matrices(monkeypatch):
+    for n, seed in [(n, s) for n in (2, 5, 30, 90) for s in range(12)]:
+        monkeypatch.setattr(elements, "PAIRS", 7 if seed % 2 else 1 << 20)
+        rows = _calls(n, seed, 3000 if seed % 3 else 400).sort_values(["start1", "end1", "key"]).reset_index(drop=True)
+        assert elements.Cluster(rows).survivors() == brute_survivors(rows)
+        start, end, want, first = rows["start1"].to_numpy(), rows["end1"].to_numpy(), [], 0
+        for i in range(1, n + 1):
+            if i == n or not any((min(end[i], end[j]) - max(start[i], start[j]) + 1) / (min(end[i] - start[i], end[j] - start[j]) + 1) >= 0.8 for j in range(first, i)):
+                want.append([*range(first, i)])
+                first = i
+        assert [c.tolist() for c in elements._clusters(start, end, 0.8)] == want
+
+
+def test_large_cluster_in_bounded_memory():
+    import tracemalloc
+
+    rows = _calls(20_000, 1, 400_000)  # whole matrices are 400 MB each
+    tracemalloc.start()
+    elements.Cluster(rows).survivors()
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
+def test_drawn_insertions_against_all_pairs():
+    rng = np.random.default_rng(3)
+    for size in (1, 60, 400):
+        start = rng.integers(0, 3000, 300)
+        rows = pd.DataFrame({"id": np.arange(300), "start0": start, "end0": start + rng.integers(0, size, 300)})
+        kept: list = []
+        for r in rows.sort_values(["start0", "end0", "id"]).itertuples():
+            if all(min(r.end0, k.end0) - max(r.start0, k.start0) < 0.5 * min(r.end0 - r.start0, k.end0 - k.start0) for k in kept):
+                kept.append(r)
+        assert more_queries._drawn(rows)["id"].tolist() == [k.id for k in kept]
+
+
+def test_drawn_insertions_of_a_long_island():
+    start = np.arange(300_000) * 7  # touching pairs of all kept ones would take hours
+    assert len(more_queries._drawn(pd.DataFrame({"id": start, "start0": start, "end0": start + 10}))) == 300_000
