@@ -28,16 +28,21 @@ def per_group(df: DataFrame, keys: list[str], each: Callable[[pd.DataFrame], pd.
         return out
 
     def run(batches):
-        held = None
+        held: list[pd.DataFrame] = []  # batches that end in the group that goes on
         for batch in batches:
             if not len(batch):
                 continue
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = (held[keys] == held[keys].iloc[-1]).all(axis=1)
-            done, held = held[~last], held[last]
+            last = (batch[keys] == batch[keys].iloc[-1]).all(axis=1)
+            if last.all() and held and (held[-1][keys].iloc[-1] == batch[keys].iloc[0]).all():
+                held.append(batch)
+                continue
+            done = pd.concat([*held, batch[~last]], ignore_index=True) if held else batch[~last]
+            if last.all() and held:
+                done = pd.concat(held, ignore_index=True)
+            held = [batch[last]] if last.any() else []
             if len(done) and (out := whole(done)):
                 yield pd.concat(out, ignore_index=True)
-        if held is not None and len(held) and (out := whole(held)):
+        if held and (out := whole(pd.concat(held, ignore_index=True))):
             yield pd.concat(out, ignore_index=True)
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

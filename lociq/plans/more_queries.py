@@ -150,11 +150,15 @@ def corrected_length(spark, sf_dir):
 
 
 def _drawn(pdf: pd.DataFrame) -> pd.DataFrame:
-    kept: list = []
-    for r in pdf.sort_values(["start0", "end0", "id"]).itertuples():
-        if all(min(r.end0, k.end0) - max(r.start0, k.start0) < 0.5 * min(r.end0 - r.start0, k.end0 - k.start0) for k in kept):
-            kept.append(r)
-    return pd.DataFrame({"id": [k.id for k in kept]})
+    pdf = pdf.sort_values(["start0", "end0", "id"])
+    slack = min(0, int((pdf["end0"] - pdf["start0"]).min())) / 2
+    kept, near = [], []  # all, and those that still reach the row; they share less than half, so they are few
+    for i, s, e in zip(pdf["id"].tolist(), pdf["start0"].tolist(), pdf["end0"].tolist(), strict=True):
+        near = [k for k in near if k[1] - s >= slack]
+        if all(min(e, f) - max(s, t) < 0.5 * min(e - s, f - t) for t, f in near):
+            kept.append(i)
+            near.append((s, e))
+    return pd.DataFrame({"id": kept})
 
 
 @query("z33_drawn_insertions", None)
