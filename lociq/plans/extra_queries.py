@@ -18,10 +18,7 @@ INSIDE = "c AS (SELECT u.id, greatest(u.start0, i.start0) AS s, least(u.end0, i.
 
 def _inside(spark, sf_dir):
     u = view(spark, sf_dir, "uivl").select("id", "seqid", "start0", "end0")
-    i = view(spark, sf_dir, "ivl").select("seqid", "start0", "end0").distinct()
-    hit = iv.overlap_join(u, i, ["seqid"], on=iv.overlaps())
-    bp = iv.covered(hit.select("id", F.greatest("start0", "b_start0").alias("start0"), F.least("end0", "b_end0").alias("end0")), ["id"])
-    return u.join(bp, "id", "left").withColumn("share", F.coalesce("covered", F.lit(0)) / (F.col("end0") - F.col("start0")))
+    return iv.covered_within(u, view(spark, sf_dir, "ivl"), "id", "seqid").withColumn("share", F.col("covered") / F.col("length"))
 
 
 @query("a03_tandem_share", f"WITH {INSIDE}, {UNION.format(n='b', t='c')} SELECT u.id, round(coalesce(bp, 0) / (end0 - start0), 9) AS share FROM uivl u LEFT JOIN b USING (id)")

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from lociq.functions import sequence, stats
-from lociq.operators import elements, relational
+from lociq.operators import elements, interval, relational
 from lociq.plans import more_queries
 from lociq.queries import QUERIES, SQL
 
@@ -140,3 +140,29 @@ def test_drawn_insertions_against_all_pairs():
 def test_drawn_insertions_of_a_long_island():
     start = np.arange(300_000) * 7  # touching pairs of all kept ones would take hours
     assert len(more_queries._drawn(pd.DataFrame({"id": start, "start0": start, "end0": start + 10}))) == 300_000
+
+
+def dense(spark, n=900):
+    """Orders and lines whose intervals lie on top of each other, and some with nulls."""
+    o = [(i, (i * 7919 % 97 if i % 50 else None), "F", (float(i * 104_729 % 400_000) if i % 41 else None), None, "1-URGENT") for i in range(n)]
+    li = [(i % n, i * 31 % 5000, i * 13 % 61, i % 7 + 1, float(i * 17 % 50 + 1 if i % 60 else 0), 1.5 * i, 0.0, 0.0, "R", "F" if i % 2 else "O", None) for i in range(4 * n)]
+    orders = spark.createDataFrame(o, spark.read.parquet(f"{SF}/orders.parquet").schema)
+    return {"orders": orders, "lineitem": spark.createDataFrame(li, spark.read.parquet(f"{SF}/lineitem.parquet").schema)}
+
+
+def test_shares_of_dense_intervals_without_pairs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(interval, "ROWS", 100)
+    tables = dense(spark)
+    got = by_spark(spark, "a03_tandem_share", tmp_path, **tables)
+    assert got == by_sql("a03_tandem_share", tmp_path, **tables) and len(got) == 900
+    plan = QUERIES["f12_tandem_filter"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "__level" not in plan
+
+
+def test_shortest_around_without_pairs(spark, tmp_path):
+    rows = spark.createDataFrame([(i, None, i * 37 % 64, "click", float(i * 7 % 90), "{}") for i in range(3000)], spark.read.parquet(f"{SF}/events.parquet").schema)
+    orders = spark.createDataFrame([(i * 200, i % 64, "F", float(i % 9 * 40_000), None, "1-URGENT") for i in range(600)], spark.read.parquet(f"{SF}/orders.parquet").schema)
+    got = by_spark(spark, "a10_domains_outside", tmp_path, events=rows, orders=orders)
+    assert got and got == by_sql("a10_domains_outside", tmp_path, events=rows, orders=orders)
+    plan = QUERIES["a10_domains_outside"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
