@@ -12,34 +12,13 @@ from pyspark.sql import functions as F
 
 from .graph import components, depths, direct_children, settle
 from .grouped import per_group
-from .interval import islands, overlap_join
+from .interval import islands, meeting, overlap_join
 
 #: How much more distance per aligned base the call with most matching bases may have than the closest one.
 RATE_CAP = 2.5
 
 
-#: Pairs of calls that are compared at once.
-PAIRS = 1 << 20
-
-
-def _meeting(low: np.ndarray, high: np.ndarray):
-    """(i, j) of all pairs whose reaches [low, high] meet, each once, in pieces; rows in any order."""
-    order = np.argsort(low, kind="stable")
-    low, high = low[order], high[order]
-    n = np.maximum(np.searchsorted(low, high, side="right") - np.arange(len(low)) - 1, 0)
-    total, first = np.cumsum(n), 0
-    while first < len(n):
-        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + PAIRS, side="right")))
-        for at in range(0, int(n[first]), PAIRS) if last == first + 1 else [0]:  # one call may meet more than a piece holds
-            m = n[first:last] if last > first + 1 else np.array([min(PAIRS, int(n[first]) - at)], np.int64) if n[first] else n[first:last]
-            x = np.repeat(np.arange(first, last), m)
-            y = np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m) + x + 1 + at
-            if len(x):
-                yield order[x], order[y]
-        first = last
-
-
-def _groups(n: int, links) -> np.ndarray:
+def groups_of(n: int, links) -> np.ndarray:
     """The least row that each is linked with; links: pieces (i, j)."""
     root = np.arange(n)
     for i, j in links:
@@ -82,7 +61,7 @@ class Cluster:
 
     def nested(self, among: np.ndarray):
         """Pieces (inner, outer) of the rows among, which have no repeat in common."""
-        for i, j in _meeting(self.low[among], self.high[among]):
+        for i, j in meeting(self.low[among], self.high[among]):
             i, j = among[i], among[j]
             a, b = self.inside(i, j), self.inside(j, i)
             inner, outer = np.concatenate((i[a], j[b])), np.concatenate((j[a], i[b]))
@@ -112,8 +91,8 @@ class Cluster:
         for i, j in self.nested(left):
             among[i] = among[j] = True
         nests, rest = left[among[left]], left[~among[left]]
-        pieces = ((i, j) for i, j in _meeting(self.low[nests], self.high[nests]))
-        group = _groups(len(nests), ((i[s], j[s]) for i, j in pieces if (s := self.shared(nests[i], nests[j])).any()))
+        pieces = ((i, j) for i, j in meeting(self.low[nests], self.high[nests]))
+        group = groups_of(len(nests), ((i[s], j[s]) for i, j in pieces if (s := self.shared(nests[i], nests[j])).any()))
         order = np.argsort(group, kind="stable")
         starts = np.flatnonzero(np.diff(group[order], prepend=-1))
         kept = [self.best(nests[g]) for g in np.split(order, starts[1:])] if len(nests) else []
@@ -129,7 +108,7 @@ class Cluster:
 def _clusters(start: np.ndarray, end: np.ndarray, threshold: float) -> list[np.ndarray]:
     """Rows in order of (start, end): a row joins the cluster before it where it overlaps a member by the threshold."""
     latest = np.full(len(start), -1)  # the last row before that it overlaps so
-    for i, j in _meeting(start, end):
+    for i, j in meeting(start, end):
         i, j = np.minimum(i, j), np.maximum(i, j)
         both = np.minimum(end[i], end[j]) - np.maximum(start[i], start[j]) + 1
         shorter = np.maximum(np.minimum(end[i] - start[i], end[j] - start[j]) + 1, 1)

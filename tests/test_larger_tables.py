@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from lociq.functions import sequence, stats
-from lociq.operators import elements, interval, relational
+from lociq.operators import elements, interval, relational, synteny
 from lociq.plans import more_queries
 from lociq.queries import QUERIES, SQL
 
@@ -104,7 +104,7 @@ def brute_survivors(rows):
 
 def test_clusters_without_matrices(monkeypatch):
     for n, seed in [(n, s) for n in (2, 5, 30, 90) for s in range(12)]:
-        monkeypatch.setattr(elements, "PAIRS", 7 if seed % 2 else 1 << 20)
+        monkeypatch.setattr(interval, "PAIRS", 7 if seed % 2 else 1 << 20)
         rows = _calls(n, seed, 3000 if seed % 3 else 400).sort_values(["start1", "end1", "key"]).reset_index(drop=True)
         assert elements.Cluster(rows).survivors() == brute_survivors(rows)
         start, end, want, first = rows["start1"].to_numpy(), rows["end1"].to_numpy(), [], 0
@@ -166,3 +166,31 @@ def test_shortest_around_without_pairs(spark, tmp_path):
     assert got and got == by_sql("a10_domains_outside", tmp_path, events=rows, orders=orders)
     plan = QUERIES["a10_domains_outside"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_block_steps_by_segments_equal_whole_groups(spark):
+    """Each step against a plain loop over all blocks of a group; segments are cut where bins of the axis have gaps."""
+    rng = np.random.default_rng(5)
+    n = 700
+    s1, s2 = rng.integers(0, 60_000, n) + rng.integers(0, 3, n) * (3 << 20), rng.integers(0, 20_000, n)
+    b = pd.DataFrame({"seq1": "A", "s1": s1, "e1": s1 + rng.integers(1, 5000, n), "seq2": "B", "s2": s2, "e2": s2 + rng.integers(1, 5000, n), "strand": "+", "ord": rng.permutation(n)})
+    b = pd.concat([b, b.iloc[:5].assign(ord=range(n, n + 5))], ignore_index=True)
+    frame = spark.createDataFrame(b)
+    shown = lambda df: sorted((r.s1, r.e1, r.s2, r.e2, r.ord) for r in df.collect())
+    rows = [list(r) for r in b[["s1", "e1", "s2", "e2", "ord"]].sort_values("ord").to_numpy().tolist()]
+    left = [r for r in rows if not any(o[0] <= r[0] and r[1] <= o[1] and o[2] <= r[2] and r[3] <= o[3] and o[4] != r[4] for o in rows)]
+    assert shown(synteny.drop_contained(frame)) == sorted(map(tuple, left)) and len(left) < n
+    for r in left:
+        for o in left:
+            if r[0] < o[0] < r[1] < o[1] and r[2] < o[2] < r[3] < o[3]:
+                o[0], o[2] = r[1], r[3]
+    assert shown(synteny.polished(frame)) == sorted(map(tuple, left))
+    plan = synteny.polished(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert "__level" not in plan
+    want = synteny._absorb(b.assign(long=(b["e1"] - b["s1"] >= 1500) & (b["e2"] - b["s2"] >= 1500)))
+    assert shown(synteny.absorb_short(frame, 1500)) == sorted(map(tuple, want[["s1", "e1", "s2", "e2", "ord"]].to_numpy().tolist()))
+
+
+def test_blocks_with_unknown_ends_stay(spark):
+    frame = spark.createDataFrame([("A", 1, 9, "B", 1, 9, "+", 1), ("A", 2, 3, "B", 2, 3, "+", 2), ("A", 2, None, "B", 2, 3, "+", 3), (None, 2, 3, "B", 2, 3, "+", 4)], synteny.BLOCK)
+    assert sorted(r.ord for r in synteny.drop_contained(frame).collect()) == [1, 3, 4]
