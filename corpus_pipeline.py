@@ -8,6 +8,7 @@ kept; an empty table passes through all of them.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociq.llm import mixing, quality, sentencepiece_codec, simhash, suffix_dedup
@@ -38,12 +39,26 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.in_order(docs, mixing.TARGETS)
 
 
+def places(docs: DataFrame) -> DataFrame:
+    """docs with place: the number, from 0, of each row in the order of the files that hold them."""
+    if not docs.inputFiles():
+        docs = cut(docs)
+    rows = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    files = rows.groupBy("__file").agg((F.max("__row") + 1).alias("__n"))
+    name = F.element_at(F.split("__file", "/"), -1)
+    before = F.sum("__n").over(W.orderBy(name, "__file").rowsBetween(W.unboundedPreceding, -1))  # a row a file
+    files = files.select(F.col("__file").alias("__of"), F.coalesce(before, F.lit(0)).alias("__before"))
+    placed = rows.join(F.broadcast(files), F.col("__file") == F.col("__of"))
+    return placed.select(*docs.columns, (F.col("__before") + F.col("__row")).alias("place"))
+
+
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids, begins, ends, n_tokens, decoded_sha256."""
+    """doc_id, source, ids, begins, ends, n_tokens, decoded_sha256, place: the document's place in the mix, by which a
+    trainer reads the tokens."""
     import public_tokenizers
 
     model = sentencepiece_codec.read_model(public_tokenizers.path("piece_bpe_32k.model"))
-    return sentencepiece_codec.tokenised(docs.select("doc_id", "source", "text"), model).drop("text")
+    return sentencepiece_codec.tokenised(places(docs).select("doc_id", "source", "text", "place"), model).drop("text")
 
 
 STAGES = [
