@@ -139,18 +139,12 @@ def overlap_groups(df: DataFrame, protected: DataFrame, policy: str, key: str =
     df: key, root (component), length, divergence; singletons stay. protected: key; protected rows leave the contest
     after components are formed and stay. Ties are all kept.
     """
-    size = df.groupBy("root").agg(F.count("*").alias("__n"))
-    rows = df.join(size, "root").join(protected.select(key, F.lit(True).alias("__p")), key, "left")
-    free = rows.where("__n > 1 and __p is null")
-    if policy == "retain":
-        kept = free
-    elif policy == "drop":
-        kept = free.limit(0)
-    else:
-        best = F.max("length") if policy == "longest" else F.min("divergence")
-        value = F.col("length") if policy == "longest" else F.col("divergence")
-        kept = free.withColumn("__best", best.over(W.partitionBy("root"))).where(value.eqNullSafe(F.col("__best"))).drop("__best")
-    return rows.where("__n = 1 or __p").unionByName(kept).select(*df.columns)
+    rows = df.join(protected.select(key, F.lit(True).alias("__p")), key, "left")
+    # a row a component, so that no window holds a large one
+    stats = rows.groupBy("root").agg(F.count("*").alias("__n"), F.max(F.when(F.col("__p").isNull(), F.col("length"))).alias("__longest"), F.min(F.when(F.col("__p").isNull(), F.col("divergence"))).alias("__lowest"))
+    rows = rows.join(stats, "root")
+    best = {"longest": F.col("length").eqNullSafe(F.col("__longest")), "drop": F.lit(False), "retain": F.lit(True)}.get(policy, F.col("divergence").eqNullSafe(F.col("__lowest")))
+    return rows.where((F.col("__n") == 1) | F.coalesce("__p", F.lit(False)) | best).select(*df.columns)
 
 
 def unique_longest(df: DataFrame, keys: list[str], length: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from lociq.functions import sequence, stats
 from lociq.operators import elements, interval, relational, synteny
 from lociq.plans import more_queries
+from lociq.plans.fixtures import view
 from lociq.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -194,3 +195,25 @@ def test_block_steps_by_segments_equal_whole_groups(spark):
 def test_blocks_with_unknown_ends_stay(spark):
     frame = spark.createDataFrame([("A", 1, 9, "B", 1, 9, "+", 1), ("A", 2, 3, "B", 2, 3, "+", 2), ("A", 2, None, "B", 2, 3, "+", 3), (None, 2, 3, "B", 2, 3, "+", 4)], synteny.BLOCK)
     assert sorted(r.ord for r in synteny.drop_contained(frame).collect()) == [1, 3, 4]
+
+
+def test_overlap_components_without_pairs(spark, tmp_path):
+    tables = {"orders": dense(spark)["orders"].where("o_totalprice is not null and o_custkey is not null")}
+    got = by_spark(spark, "g04_overlap_longest", tmp_path, **tables)
+    rows = [(r.id, r.seqid, r.start0, r.end0, r.weight) for r in view(spark, str(tmp_path), "uivl").collect()]
+    root = {r[0]: r[0] for r in rows}
+    while True:
+        new = {a[0]: min(root[b[0]] for b in rows if a is b or a[1] == b[1] and a[2] < b[3] and b[2] < a[3]) for a in rows}
+        if new == root:
+            break
+        root = new
+    group: dict = {}
+    for r in rows:
+        group.setdefault(root[r[0]], []).append(r)
+    want = []
+    for at, g in group.items():
+        longest = max((r[3] - r[2] for r in g if r[4] % 10), default=None)
+        want += [(r[0], at, r[3] - r[2]) for r in g if len(g) == 1 or r[4] % 10 == 0 or r[3] - r[2] == longest]
+    assert got == sorted(want, key=str)
+    plan = QUERIES["g04_overlap_longest"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "__level" not in plan
