@@ -217,3 +217,8 @@ def test_overlap_components_without_pairs(spark, tmp_path):
     assert got == sorted(want, key=str)
     plan = QUERIES["g04_overlap_longest"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "__level" not in plan
+
+
+def test_tandem_filter_of_dense_intervals(spark, tmp_path):
+    tables = dense(spark)
+    assert by_spark(spark, "f12_tandem_filter", tmp_path, **tables) == by_sql("f12_tandem_filter", tmp_path, **tables)
