@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociq.llm import mixing, quality, sentencepiece_codec, simhash, suffix_dedup
-from lociq.llm.common import cut
+from lociq.llm.common import cut, give_back
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,21 +21,25 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Where these don't have both labels there is nothing to tell documents apart by, and none is rejected.
     """
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    give_back(spark)
     return quality.accepted(docs, model) if quality.learned(model) else docs
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
+    give_back(spark)
     return simhash.keep_one(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 200 bytes and more that occur elsewhere are cut out of the texts; n_chars follows."""
+    give_back(spark)
     return suffix_dedup.remove_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mix: the files hold it from the first row to the last."""
+    give_back(spark)
     return mixing.in_order(docs, mixing.TARGETS)
 
 
@@ -57,6 +61,7 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     trainer reads the tokens."""
     import public_tokenizers
 
+    give_back(spark)
     model = sentencepiece_codec.read_model(public_tokenizers.path("piece_bpe_32k.model"))
     return sentencepiece_codec.tokenised(places(docs).select("doc_id", "source", "text", "place"), model).drop("text")
 

@@ -83,6 +83,24 @@ def release() -> None:
         pass
 
 
+def give_back(spark: SparkSession) -> None:
+    """What the driver doesn't use any more goes back to the system: shuffles and broadcasts that only its garbage still
+    holds, the free part of its heap, and freed native memory. For steps of many jobs, between them."""
+    import gc
+
+    from py4j.protocol import Py4JError
+
+    gc.collect()
+    release()
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    try:
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer().invoke(name, "systemTrimNativeHeap", None, None)
+    except Py4JError:  # another JVM: it keeps what it has
+        pass
+
+
 def column(batch, name: str) -> list:
     """The Python values of a batch's column."""
     return batch.column(batch.schema.names.index(name)).to_pylist()

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut, drop_cut, n_partitions, sliced, with_columns
+from .common import column, cut, drop_cut, give_back, n_partitions, sliced, with_columns
 from .components import components
 
 WORDS = 5
@@ -336,18 +336,24 @@ def near_roots(docs: DataFrame, ids: DataFrame) -> DataFrame:
     once = cut(ids.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")))
     pairs = cut(_likely(met.select("a", "b").distinct(), once))
     near = _near(pairs, docs, ids)
-    failed, partners = None, PARTNERS
+    drop_cut(pairs)
+    root, failed, partners = components(near), None, PARTNERS
     while True:
-        pairs, more = _apart(met, once, components(near), failed, partners)
+        give_back(docs.sparkSession)
+        pairs, more = _apart(met, once, root, failed, partners)
+        if pairs.isEmpty():  # then there are no more either
+            break
         found = _near(pairs, docs, ids)
-        near = cut(near.union(found))
+        if not found.isEmpty():  # else all groups are as they were
+            near = cut(near.union(found))
+            root = components(near)
         if not more:
             break
         new = pairs.join(found, ["a", "b"], "left_anti")
         failed, partners = cut(new if failed is None else failed.union(new)), partners * GROWTH
     for t in (met, once):
         drop_cut(t)
-    return components(near)
+    return root
 
 
 def _apart(met: DataFrame, once: DataFrame, root: DataFrame, failed: DataFrame | None, partners: int) -> tuple[DataFrame, bool]:

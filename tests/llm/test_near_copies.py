@@ -98,3 +98,19 @@ def test_large_groups_of_near_copies_take_rounds(spark, monkeypatch):
         rows.append((100 + i, " ".join([*base[:30], *[rng.choice(words) for _ in range(25)]])))
     got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in got) == brute_kept(rows)
+
+
+def test_rounds_that_find_nothing_take_no_groups_again(spark, monkeypatch):
+    """Texts that share parts but aren't near: one look for groups, and what the driver can spare is given back in each round."""
+    calls, given = [], []
+    real, back = nc.components, nc.give_back
+    monkeypatch.setattr(nc, "components", lambda edges: calls.append(1) or real(edges))
+    monkeypatch.setattr(nc, "give_back", lambda session: given.append(1) or back(session))
+    monkeypatch.setattr(nc, "PARTNERS", 1)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    base = [rng.choice(words) for _ in range(60)]
+    rows = [(i, " ".join([*base, *[rng.choice(words) for _ in range(25)]])) for i in range(30)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == brute_kept(rows) == list(range(30))
+    assert len(calls) == 1 and given
