@@ -8,11 +8,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import components, depths, direct_children, settle
+from .graph import components, depths, direct_children, settle, unsettle
 from .grouped import per_group
-from .interval import islands, meeting, overlap_join
+from .interval import BIN, islands, meeting, overlap_join
 
 #: How much more distance per aligned base the call with most matching bases may have than the closest one.
 RATE_CAP = 2.5
@@ -146,21 +147,78 @@ def deduplicated(elements: DataFrame, threshold: float = 0.8) -> DataFrame:
     return per_group(islands(rows, ["seqid"], "start1", "__to"), ["seqid", "island"], run, RESULT, alone)
 
 
+def _ends_in_bins(ends: DataFrame, bin_width: int) -> DataFrame:
+    """ends (row, seqid, lo, hi) -> __row, __rep: the row that stands for the stretch of touching ends in a bin; and a row
+    a bin, with seqid and __b, whose __rep stands for the stretch that begins before it and __last for the last begun in it.
+
+    A repeat that ends before it begins touches those that hold both its ends. What a bin needs of those before it is the
+    largest end.
+    """
+    at, to = F.least("lo", "hi"), F.greatest("lo", "hi")
+    rows = ends.select("seqid", F.floor(at / bin_width).alias("__b"), at.alias("__at"), to.alias("__to"), (F.col("lo") > F.col("hi")).cast("int").alias("__kind"), "row")
+    earlier = W.partitionBy("seqid").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    reach = rows.groupBy("seqid", "__b").agg(F.max(F.when(F.col("__kind") == 0, F.col("__to"))).alias("__to")).withColumn("__to", F.max("__to").over(earlier))
+    low = np.iinfo(np.int64).min
+    reach = reach.select("seqid", "__b", F.lit(0).cast("bigint").alias("__at"), F.coalesce("__to", F.lit(low)).alias("__to"), F.lit(2).alias("__kind"), F.lit(-1).cast("bigint").alias("row"))
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        kind, at, to, row = (pdf[c].to_numpy("i8") for c in ("__kind", "__at", "__to", "row"))
+        order = np.flatnonzero(kind == 0)
+        order = order[np.lexsort((row[order], at[order]))]
+        s, r = at[order], row[order]
+        reach = np.maximum.accumulate(np.concatenate((to[kind == 2][:1], to[order])))
+        new = s > reach[:-1]
+        stretch = np.cumsum(new)  # 0: begun before the bin
+        x, y, turned = at[kind == 1], to[kind == 1], row[kind == 1]
+        i = np.searchsorted(s, x, side="right")
+        held = reach[i] >= y
+        of = np.concatenate(([0], stretch))[i[held]]
+        row, stretch = np.concatenate((r, turned[held])), np.concatenate((stretch, of))
+        begun = r[new]
+        first = row[stretch == 0].min() if (stretch == 0).any() else None
+        reps = np.concatenate(([-1 if first is None else first], begun))
+        out = pd.DataFrame({"seqid": None, "__b": pd.array([None] * len(row), "Int64"), "__row": pd.array(row, "Int64"), "__rep": pd.array(reps[stretch], "Int64"), "__last": pd.array([None] * len(row), "Int64")})
+        mark = pd.DataFrame({"seqid": pdf["seqid"].iloc[:1].to_numpy(object), "__b": pd.array(pdf["__b"].iloc[:1], "Int64"), "__row": pd.array([None], "Int64"), "__rep": pd.array([first], "Int64"), "__last": pd.array([begun[-1] if len(begun) else None], "Int64")})
+        return pd.concat([out, mark], ignore_index=True)
+
+    return per_group(rows.unionByName(reach), ["seqid", "__b"], each, "seqid string, __b bigint, __row bigint, __rep bigint, __last bigint")
+
+
+def best_of_shared_ends(e: DataFrame, bin_width: int = BIN >> 6) -> DataFrame:
+    """row: the best of each group of calls that share an end, chained (most matching bases; ties by key). e: row (unique,
+    from 0) and the columns of elements, whose repeats lie within them. Groups are told by the stretches that touching ends
+    cover: a call links two stretches at most, and no pair of calls is made."""
+    long = lambda c: F.col(c).cast("bigint")
+    ends = F.explode(F.array(F.struct(long("start1").alias("lo"), long("l_end").alias("hi")), F.struct(long("r_start").alias("lo"), long("end1").alias("hi"))))
+    known = e.where("seqid is not null and start1 is not null and end1 is not null")
+    ends = known.select("row", "seqid", ends.alias("x")).select("row", "seqid", "x.lo", "x.hi").where("lo is not null and hi is not null")
+    found = settle(_ends_in_bins(ends, bin_width))
+    stretches = settle(found.where("__row is not null").groupBy("__row").agg(F.min("__rep").alias("a"), F.max("__rep").alias("b")))
+    earlier = W.partitionBy("seqid").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    carried = found.where("__row is null").select(F.col("__rep").alias("a"), F.last("__last", True).over(earlier).alias("b")).where("a is not null")
+    root = components(stretches.where("a <> b").select("a", "b").distinct().union(carried))
+    rows = e.select("row", F.struct((-(F.col("aln") * (1 - F.col("p")))).alias("score"), "key", "row").alias("m")).join(stretches, F.col("row") == F.col("__row"), "left")
+    # a row a stretch, so that few are joined with the groups
+    best = rows.groupBy(F.coalesce("a", "row").alias("at")).agg(F.min("m").alias("m"))
+    best = settle(best.join(root, F.col("at") == F.col("node"), "left").groupBy(F.coalesce("root", "at").alias("root")).agg(F.min("m").alias("m")).select("m.row"))
+    unsettle(found)
+    unsettle(stretches)
+    return best
+
+
 def reconciled(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """elements of all rounds -> survivors with depth, and the direct nestings (outer, inner).
+    """elements of all rounds (key is unique) -> survivors with depth, and the direct nestings (outer, inner).
 
     Calls that share an end across rounds are one group, of which the best stays (most matching bases; ties by key);
     containment of the survivors, reduced to direct children, gives the depth.
     """
-    e = elements.select("key", "seqid", "start1", "end1", "l_end", "r_start", "aln", "p")
+    e = settle(elements.where("key is not null").select("key", "seqid", "start1", "end1", "l_end", "r_start", "aln", "p", F.monotonically_increasing_id().alias("row")))
+    left = settle(e.join(best_of_shared_ends(e), "row", "left_semi").drop("row"))
+    unsettle(e)
     touch = F.lit(False)
     for s, t in (("start1", "l_end"), ("r_start", "end1")):
         for u, v in (("b_start1", "b_l_end"), ("b_r_start", "b_end1")):
             touch |= (F.col(s) <= F.col(v)) & (F.col(u) <= F.col(t))
-    pairs = overlap_join(e, e, ["seqid"], on=touch & (F.col("key") < F.col("b_key")), a_cols=("start1", "end1"), b_cols=("start1", "end1"))
-    root = components(pairs.select(F.col("key").alias("a"), F.col("b_key").alias("b")), e.select(F.col("key").alias("node")))
-    best = e.join(root, F.col("key") == F.col("node")).groupBy("root").agg(F.min_by("key", F.struct(-(F.col("aln") * (1 - F.col("p"))), F.col("key"))).alias("key"))
-    left = e.join(best, "key", "left_semi")
     inside = (F.col("start1") <= F.col("b_start1")) & (F.col("b_end1") <= F.col("end1")) & (F.col("b_end1") - F.col("b_start1") < F.col("end1") - F.col("start1")) & ~touch
     nest = overlap_join(left, left, ["seqid"], on=inside, a_cols=("start1", "end1"), b_cols=("start1", "end1")).select(F.col("key").alias("outer"), F.col("b_key").alias("inner"))
     children = settle(direct_children(settle(nest)))

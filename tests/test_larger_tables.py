@@ -222,3 +222,39 @@ def test_overlap_components_without_pairs(spark, tmp_path):
 def test_tandem_filter_of_dense_intervals(spark, tmp_path):
     tables = dense(spark)
     assert by_spark(spark, "f12_tandem_filter", tmp_path, **tables) == by_sql("f12_tandem_filter", tmp_path, **tables)
+
+
+def test_shared_ends_without_pairs(spark, monkeypatch):
+    """Groups of calls that share an end, across borders of bins and with repeats turned round, against all pairs."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(500):
+        s, n = int(rng.integers(0, 40_000)), int(rng.integers(100, 900))
+        shift = int(rng.integers(0, 2)) * 30
+        row = (f"k{i}", f"c{i % 2}" if i % 40 else None, s + 1 + shift, s + n, s + n // 9 if i % 33 else None, s + n - n // 9, int(rng.integers(50, 60)), float(rng.integers(0, 3)) / 10)
+        rows.append(row)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ends = lambda r: [x for x in ((r[2], r[4]), (r[5], r[3])) if None not in x]
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows[:i]):
+            if a[1] and a[1] == b[1] and any(s <= v and u <= t for s, t in ends(a) for u, v in ends(b)):
+                root[find(i)] = find(j)
+    want: dict = {}
+    for i, r in enumerate(rows):
+        want.setdefault(find(i), []).append((-(r[6] * (1 - r[7])), r[0], i))
+    e = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "key string, seqid string, start1 long, end1 long, l_end long, r_start long, aln long, p double, row long")
+    for width in (64, 1 << 14):
+        got = sorted(r.row for r in elements.best_of_shared_ends(e, width).collect())
+        assert got == sorted(min(g)[2] for g in want.values())
+    assert len(e.columns) < len(got) < 480
+    joins = []
+    real = elements.overlap_join
+    monkeypatch.setattr(elements, "overlap_join", lambda a, *x, **y: joins.append(a.count()) or real(a, *x, **y))
+    elements.reconciled(e.drop("row"))
+    assert joins == [len(got)]  # only those that are left are held against each other
