@@ -22,10 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Cut the lineage: written to the folder that all executors share, and read again; survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -258,3 +258,36 @@ def test_shared_ends_without_pairs(spark, monkeypatch):
     monkeypatch.setattr(elements, "overlap_join", lambda a, *x, **y: joins.append(a.count()) or real(a, *x, **y))
     elements.reconciled(e.drop("row"))
     assert joins == [len(got)]  # only those that are left are held against each other
+
+
+def test_triage_in_pieces_equals_whole_pairs(spark, monkeypatch):
+    """Against a plain loop that marks bases, with blocks whose place isn't known or that are empty, over many pieces."""
+    monkeypatch.setattr(synteny, "JUDGED", 70)
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(600):
+        one, two = int(rng.integers(10, 60)), int(rng.integers(10, 60))
+        s1, s2 = int(rng.integers(0, 3000)), int(rng.integers(-900, 2000))
+        rows.append((f"A{i % 2}", s1, s1 + one, f"B{i % 3}", s2, s2 + two if i % 50 else (s2 if i % 100 else None), "+", int(rng.integers(0, 10_000)) * 600 + i, "x", "y" if i % 5 else None))
+    frame = spark.createDataFrame(rows, synteny.BLOCK + ", ga string, gb string")
+    assert len({r[7] for r in rows}) == 600
+    pieces = []
+    real = synteny.unsettle
+    monkeypatch.setattr(synteny, "unsettle", lambda df: pieces.append(len(df.inputFiles())) or real(df))
+    for ratio, rescue in ((1.3, 0.5), (0.5, 0.3)):
+        skew = lambda r: max(r[2] - r[1], r[5] - r[4]) / min(r[2] - r[1], r[5] - r[4]) if r[5] is not None and r[5] > r[4] else float("inf")
+        covered, want = set(), {}
+        bases = lambda r, x: [(r[8], r[9], x, r[x], p) for p in range(r[x + 1], r[x + 2])] if r[x + 2] is not None else []
+        for r in sorted(rows, key=lambda r: (skew(r) > ratio, skew(r) if skew(r) > ratio else 0, r[7])):
+            both = [bases(r, 0), bases(r, 3)]
+            if skew(r) <= ratio:
+                want[r[7]] = "clean"
+            elif min(1 - sum(b in covered for b in x) / len(x) if x else 0 for x in both) < rescue:
+                want[r[7]] = "dropped"
+                continue
+            else:
+                want[r[7]] = "rescued"
+            covered.update(*both)
+        got = {r.ord: r.state for r in synteny.triage(frame, ratio, rescue).collect()}
+        assert got == want and list(got.values()).count("rescued") > 20
+    assert min(pieces) > 5  # no task has them all
